@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inquest.llm import bpe
+from inquest.llm import bpe, line_dedup, mixing
 from inquest.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": lambda spark, d: bpe.digests(documents(spark, d)),
+    "op3_line_dedup": lambda spark, d: line_dedup.digests(documents(spark, d)),
+    "op6_mixing": lambda spark, d: mixing.shares(documents(spark, d)),
+}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE,
 }
-ORACLES: dict[str, str] = {}
