@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inquest.llm import bpe, langid, line_dedup, mixing, quality_rules, quality_sites
+from inquest.llm import bpe, langid, line_dedup, mixing, near_dedup, quality_rules, quality_sites
 from inquest.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": lambda spark, d: line_dedup.digests(documents(spark, d)),
     "op4_quality_rules": lambda spark, d: quality_rules.verdicts(documents(spark, d)),
     "op6_mixing": lambda spark, d: mixing.shares(documents(spark, d)),
+    "op7_bagminhash": lambda spark, d: near_dedup.membership(documents(spark, d)),
     "op9_language_id": lambda spark, d: langid.predictions(documents(spark, d)),
     "op10_quality_classifier": lambda spark, d: quality_sites.verdicts(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
 }
