@@ -112,9 +112,11 @@ def line_keys(text: Column, min_chars: int) -> Column:
 
 @dataclass
 class LineIndex:
-    """postings: h1, h2, doc_id; filters: shard, shards, buckets."""
+    """postings: h1, h2, doc_id; shared: h1, h2, first_doc, n_docs of keys in two documents or more;
+    filters: shard, buckets."""
 
     postings: DataFrame
+    shared: DataFrame
     filters: DataFrame
     shards: int
     min_chars: int = 10
@@ -127,11 +129,11 @@ class LineIndex:
     def of_lines(cls, lines: DataFrame, min_chars: int = 10, shards: int | None = None) -> LineIndex:
         ship(lines.sparkSession)
         postings = postings_of(lines)
-        shared = stored(references(postings).where("n_docs > 1").select("h1", "h2"), "shared-lines")
+        shared = stored(references(postings).where("n_docs > 1"), "shared-lines")
         if shards is None:
             shards = max(1, -(-shared.count() // SHARD_KEYS))
-        filters = shared.withColumn("shard", F.pmod("h1", F.lit(shards))).repartition(shards, "shard")
-        return cls(postings, stored(filters.mapInPandas(_build, "shard bigint, buckets binary"), "line-filters"), shards, min_chars)
+        filters = shared.select("h1", "h2", F.pmod("h1", F.lit(shards)).alias("shard")).repartition(shards, "shard")
+        return cls(postings, shared, stored(filters.mapInPandas(_build, "shard bigint, buckets binary"), "line-filters"), shards, min_chars)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._changed(postings_of(lines_of(docs, self.min_chars)).join(self.postings, ["h1", "h2", "doc_id"], "left_anti"), gone=False)
@@ -143,7 +145,8 @@ class LineIndex:
         delta = stored(delta, "line-delta")
         after = stored(self.postings.join(delta, ["h1", "h2", "doc_id"], "left_anti") if gone else self.postings.unionByName(delta), "postings")
         touched = delta.groupBy("h1", "h2").agg(F.count("*").alias("change"))
-        now = references(after.join(touched, ["h1", "h2"], "left_semi"))
+        now = stored(references(after.join(touched, ["h1", "h2"], "left_semi")), "line-counts")
+        shared = stored(self.shared.join(touched, ["h1", "h2"], "left_anti").unionByName(now.where("n_docs > 1")), "shared-lines")
         step = F.col("change") * (-1 if gone else 1)
         both = touched.join(now, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("n_docs", F.lit(0)).alias("now"), step.alias("step"))
         crossed = both.where((F.col("now") > 1) != (F.col("now") - F.col("step") > 1))
@@ -152,9 +155,9 @@ class LineIndex:
         filters = edits.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_edit, "shard bigint, buckets binary")
         filters = stored(filters, "line-filters")
         full = filters.where("buckets IS NULL").select("shard")
-        again = references(after).where("n_docs > 1").withColumn("shard", F.pmod("h1", F.lit(self.shards))).join(full, "shard", "left_semi").select("h1", "h2", "shard")
+        again = shared.withColumn("shard", F.pmod("h1", F.lit(self.shards))).join(full, "shard", "left_semi").select("h1", "h2", "shard")
         rebuilt = again.repartition(self.shards, "shard").mapInPandas(_build, "shard bigint, buckets binary")
-        return LineIndex(after, stored(filters.where("buckets IS NOT NULL").unionByName(rebuilt), "line-filters"), self.shards, self.min_chars)
+        return LineIndex(after, shared, stored(filters.where("buckets IS NOT NULL").unionByName(rebuilt), "line-filters"), self.shards, self.min_chars)
 
 
 def lines_of(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -233,7 +236,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, broadcast_bytes: int = 64
     lines = lines_of(docs, min_chars)
     if index is None:
         index = LineIndex.of_lines(lines, min_chars)
-    shared = references(index.postings).where("n_docs > 1").select("h1", "h2", "first_doc")
+    shared = index.shared.select("h1", "h2", "first_doc")
     maybe = _suspects(lines, index.filters, index.shards, broadcast_bytes)
     # a hot line's rows are split by adaptive execution: this join has no order to keep
     leaving = maybe.join(shared, ["h1", "h2"]).where("doc_id > first_doc")
