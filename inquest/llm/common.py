@@ -114,10 +114,10 @@ class WordHashes(dict):
         super().__init__()
         self.bound = bound
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         import xxhash
 
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         if len(self) >= self.bound:
             self.clear()
         self[word] = h

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inquest.llm import bpe, langid, line_dedup, mixing, near_dedup, quality_rules, quality_sites, vector_dedup
+from inquest.llm import bpe, langid, line_dedup, lm_bloom, mixing, near_dedup, pii, quality_rules, quality_sites, vector_dedup
 from inquest.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": lambda spark, d: bpe.digests(documents(spark, d)),
+    "op2_pseudonyms": lambda spark, d: pii.report(documents(spark, d)),
     "op3_line_dedup": lambda spark, d: line_dedup.digests(documents(spark, d)),
     "op4_quality_rules": lambda spark, d: quality_rules.verdicts(documents(spark, d)),
     "op5_vector_dedup": lambda spark, d: vector_dedup.membership(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op6_mixing": lambda spark, d: mixing.shares(documents(spark, d)),
     "op7_bagminhash": lambda spark, d: near_dedup.membership(documents(spark, d)),
+    "op8_lm_bloom": lambda spark, d: lm_bloom.scores(documents(spark, d)),
     "op9_language_id": lambda spark, d: langid.predictions(documents(spark, d)),
     "op10_quality_classifier": lambda spark, d: quality_sites.verdicts(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
 }
