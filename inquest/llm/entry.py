@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from inquest.llm import bpe, langid, line_dedup, lm_bloom, mixing, near_dedup, pii, quality_rules, quality_sites, vector_dedup
 from inquest.llm.common import documents
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_bloom": lambda spark, d: lm_bloom.scores(documents(spark, d)),
     "op9_language_id": lambda spark, d: langid.predictions(documents(spark, d)),
     "op10_quality_classifier": lambda spark, d: quality_sites.verdicts(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE,

@@ -111,7 +111,7 @@ def _refilled(shape: Column, digits: Column) -> Column:
         return F.struct(F.concat(s["o"], F.when(digit, F.substr(digits, s["p"], F.lit(1))).otherwise(c)).alias("o"), (s["p"] + digit.cast("int")).alias("p"))
 
     start = F.struct(F.lit("").alias("o"), F.lit(1).alias("p"))
-    return F.aggregate(F.split(shape, "(?!^)"), start, step)["o"]
+    return F.aggregate(F.split(shape, "(?!^)(?!$)"), start, step)["o"]
 
 
 def _iban_rest(code: Column) -> Column:
@@ -122,7 +122,7 @@ def _iban_rest(code: Column) -> Column:
         letter = F.ascii(c) - 55
         return F.when(c.rlike("^[0-9]$"), (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + letter) % 97)
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step)
+    return F.aggregate(F.split(turned, "(?!^)(?!$)"), F.lit(0), step)
 
 
 def _date_parts(m: Column) -> Column:
