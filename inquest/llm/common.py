@@ -107,6 +107,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the links (a, b) over nodes 0..n-1 connect, fewer than n."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        fresh = label.copy()
+        np.minimum.at(fresh, a, low)
+        np.minimum.at(fresh, b, low)
+        fresh = fresh[fresh]
+        if (fresh == label).all():
+            break
+        label = fresh
+    at = np.flatnonzero(label != np.arange(n))
+    return at, label[at]
+
+
 class WordHashes(dict):
     """Stable 64-bit hash of each word, remembered up to a bound."""
 

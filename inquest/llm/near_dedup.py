@@ -12,9 +12,10 @@ Jaccard similarity. Points come in rising order, so a shingle is left as soon as
 every register: nearly all of them after one point.
 
 Copies collapse first: one representative for each different text. Bands of registers make buckets. A bucket of
-n documents never becomes n*n pairs: each document is paired with one leader of the bucket (another in each
-band), the pairs' whole multisets are compared, and only documents of a bucket that are still in different
-components are compared with each other, until every pair of a bucket is either compared or already connected.
+n documents never becomes n*n rows: each document is paired with the bucket's leader, the document with the
+most company, and the pairs' whole multisets are compared. Buckets that then still hold several components are
+finished exactly: their members outside the main component are compared with all others, in blocks of matrix
+products that return connecting edges only. Every pair of a bucket is compared or already connected.
 
 Cases: null and empty texts, and texts without a word, are groups of their own; a text of fewer than WORDS
 words is one shingle; a row without doc_id is kept with a null group; rows that repeat a doc_id are one
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inquest.llm.common import WORD, WordHashes, dropped, free_name, key_of, mix64, ship, slices, stored
+from inquest.llm.common import WORD, WordHashes, forest, free_name, key_of, mix64, ship, slices, stored
 from inquest.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -114,19 +115,23 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches, "text"):
-        bags = [np.sort(shingles(t, hashes)).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in bags], pa.binary())], ["id", "bag"])
+        bags = [bag(shingles(t, hashes)).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["id", "bag"])
+
+
+def bag(h: np.ndarray) -> np.ndarray:
+    """A multiset as a sorted set: the second, third, ... copy of a shingle is an element of its own."""
+    h = np.sort(h)
+    first = np.searchsorted(h, h, "left")
+    turn = (np.arange(len(h)) - first).astype(np.uint64)
+    return np.sort(np.where(turn == 0, h, mix64(h + turn * _GOLD)))
 
 
 def overlap(a: bytes, b: bytes) -> float:
-    """Sum of minima over sum of maxima of two sorted multisets."""
+    """Sum of minima over sum of maxima of two multisets, as bag() has them."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if a == b:
-        return 1.0
-    (u, n), (v, m) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-    at = np.minimum(np.searchsorted(v, u), len(v) - 1) if len(v) else np.zeros(len(u), int)
-    both = np.minimum(n, m[at])[v[at] == u].sum() if len(v) and len(u) else 0
-    return float(both / max(1, len(x) + len(y) - both))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
 
 
 def _verified(similarity: float):
@@ -138,71 +143,99 @@ def _verified(similarity: float):
     return run
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 16384) -> np.ndarray:
+    """How many elements each left bag shares with each right one, by products of 0-1 matrices."""
+    (l, i), (r, j) = ((np.concatenate(x) if x else np.zeros(0, np.uint64), np.repeat(np.arange(len(x)), [len(b) for b in x])) for x in (left, right))
+    names = np.intersect1d(l, r)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(names):
+        return out
+    at_l, at_r = np.searchsorted(names, l), np.searchsorted(names, r)
+    in_l, in_r = names[np.minimum(at_l, len(names) - 1)] == l, names[np.minimum(at_r, len(names) - 1)] == r
+    for low in range(0, len(names), columns):
+        a, b = (np.zeros((len(out) if side is i else out.shape[1], min(columns, len(names) - low)), np.float32) for side in (i, j))
+        for m, row, at, ok in ((a, i, at_l, in_l), (b, j, at_r, in_r)):
+            ok = ok & (at >= low) & (at < low + columns)
+            m[row[ok], at[ok] - low] = 1
+        out += a @ b.T
+    return out
+
+
+def _blocks(similarity: float):
+    """Links between the strangers and the members of a block, as a few edges that connect the same."""
+
+    def run(table: pa.Table) -> pa.Table:
+        few, all_ = table.filter(pa.array(table["role"].to_numpy() == 0)), table.filter(pa.array(table["role"].to_numpy() == 1))
+        x, y = few["id"].to_numpy(), all_["id"].to_numpy()
+        bags_x, bags_y = ([np.frombuffer(b, np.uint64) for b in t["bag"].to_pylist()] for t in (few, all_))
+        both = shared_counts(bags_x, bags_y)
+        n_x, n_y = (np.array([len(b) for b in bags], np.float32) for bags in (bags_x, bags_y))
+        # counts are whole numbers, so this is the quotient's comparison without its rounding
+        good = both * (1 + similarity) >= similarity * (n_x[:, None] + n_y[None, :]) - 1e-3
+        good &= few["c"].to_numpy()[:, None] != all_["c"].to_numpy()[None, :]
+        u, v = np.nonzero(good)
+        sure = [k for k in range(len(u)) if overlap(bags_x[u[k]], bags_y[v[k]]) >= similarity] if len(u) < 4096 else range(len(u))
+        u, v = u[list(sure)], v[list(sure)]
+        names, local = np.unique(np.concatenate([x[u], y[v]]), return_inverse=True)
+        a, b = forest(local[: len(u)], local[len(u) :], len(names))
+        return pa.table({"a": names[a], "b": names[b]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
+
+
 class _Buckets:
     """Candidate search over the members of buckets, without all pairs of a bucket."""
 
+    BLOCK = 256
+
     def __init__(self, docs: DataFrame, members: DataFrame, similarity: float) -> None:
-        self.docs, self.members, self.similarity = docs, members, similarity
-        self.tried: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Compare the whole multisets of pairs (x, y) that weren't compared yet; keep the links."""
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        bags = self.docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
-        bags = stored(bags.mapInArrow(_bagged, "id bigint, bag binary"), "bags")
-        left, right = bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b"))
+        self.similarity = similarity
+        ids = members.select(F.col("id").alias("doc_id")).distinct()
+        texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+        self.bags = stored(texts.mapInArrow(_bagged, "id bigint, bag binary"), "bags")
+        self.members = members
+
+    def leaders(self) -> DataFrame:
+        """Each member with its bucket's leader: the one with the most company over all its buckets, which the
+        original of many copies has, then the least id."""
+        sizes = self.members.groupBy("band", "key").agg(F.count("*").alias("n"))
+        company = self.members.join(sizes, ["band", "key"]).groupBy("id").agg(F.sum("n").alias("company"))
+        ranked = stored(self.members.join(company, "id").select("band", "key", "id", "company"), "ranked")
+        top = stored(ranked.groupBy("band", "key").agg(F.max("company").alias("top")), "top")
+        lead = ranked.join(top, ["band", "key"]).where("company = top").groupBy("band", "key").agg(F.min("id").alias("y"))
+        return self.members.join(stored(lead, "leaders"), ["band", "key"]).select(F.col("id").alias("x"), "y")
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) whose whole multisets overlap enough."""
+        pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "pairs")
+        left, right = self.bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), self.bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b")
-        found = stored(both.mapInArrow(_verified(self.similarity), "a bigint, b bigint"), "links")
-        dropped(found.sparkSession, bags)
-        self.links = found if self.links is None else self.links.unionByName(found)
-
-    def leaders(self, turn: int) -> DataFrame:
-        """Each member with one leader of its bucket: the least id after flipping bits by band and turn."""
-        flip = F.xxhash64(F.lit(turn), "band")
-        lead = self.members.groupBy("band", "key").agg(F.min(F.col("id").bitwiseXOR(flip)).alias("m"))
-        lead = lead.select("band", "key", F.col("m").bitwiseXOR(flip).alias("y"))
-        return self.members.join(lead, ["band", "key"]).select("band", "key", F.col("id").alias("x"), "y")
-
-    def run(self, turns: int = 4) -> DataFrame:
+        return stored(both.mapInArrow(_verified(self.similarity), "a bigint, b bigint"), "links")
+
+    def run(self) -> DataFrame:
         """node, component of every representative that has a link."""
-        self.compare(self.leaders(0).select("x", "y"))
-        for turn in range(1, turns + 1):
-            labels = components(self.links, "groups")
-            named = self.members.join(labels, F.col("id") == F.col("node"), "left").select("band", "key", "id", F.coalesce("component", "id").alias("c"))
-            named = stored(named, "named")
-            sizes = named.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
-            # of the component with most members in a bucket (the least id among equals), by a sum that sorts
-            most = sizes.groupBy("band", "key").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
-            open_ = sizes.join(most, ["band", "key"]).where("n = top").groupBy("band", "key").agg(F.min("c").alias("main"), F.max("all").alias("all"), F.max("top").alias("top"))
-            open_ = stored(open_, "open")
-            n, work = open_.agg(F.count("*"), F.sum((F.col("all") - F.col("top")) * F.col("all"))).first()
-            if not n:
-                return labels
-            if turn == turns or work <= 4 * named.count():
-                return self._exhaust(named, open_)
-            self.members_of(named, open_, turn)
-        raise AssertionError
-
-    def members_of(self, named: DataFrame, open_: DataFrame, turn: int) -> None:
-        """Another leader for buckets that still hold several components."""
-        flip = F.xxhash64(F.lit(turn), "band")
-        rows = named.join(open_.select("band", "key"), ["band", "key"], "left_semi")
-        lead = rows.groupBy("band", "key").agg(F.min(F.col("id").bitwiseXOR(flip)).alias("m")).select("band", "key", F.col("m").bitwiseXOR(flip).alias("y"))
-        lead = lead.join(rows.select("band", "key", F.col("id").alias("y"), F.col("c").alias("d")), ["band", "key", "y"])
-        self.compare(rows.join(lead, ["band", "key"]).where("c <> d").select(F.col("id").alias("x"), "y"))
+        links = self.compare(self.leaders())
+        labels = components(links, "groups")
+        named = self.members.join(labels, F.col("id") == F.col("node"), "left").select("band", "key", "id", F.coalesce("component", "id").alias("c"))
+        named = stored(named, "named")
+        sizes = named.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
+        most = sizes.groupBy("band", "key").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+        # the component with most members in a bucket, the least id among equals
+        open_ = sizes.join(most, ["band", "key"]).where("n = top").groupBy("band", "key").agg(F.min("c").alias("main"), F.max("all").alias("all"), F.max("top").alias("top"))
+        blocks = [F.ceil(x / self.BLOCK).cast("int").alias(n) for x, n in ((F.col("all") - F.col("top"), "kx"), (F.col("all"), "ky"))]
+        open_ = stored(open_.select("band", "key", "main", *blocks), "open")
+        if open_.isEmpty():
+            return labels
+        return components(links.unionByName(self._exhaust(named, open_)), "groups")
 
     def _exhaust(self, named: DataFrame, open_: DataFrame) -> DataFrame:
-        """Compare members outside a bucket's main component with all of other components in it."""
-        rows = named.join(open_.select("band", "key", "main"), ["band", "key"])
-        few = rows.where("c <> main").select("band", "key", F.col("id").alias("x"), F.col("c").alias("d"))
-        self.compare(few.join(rows, ["band", "key"]).where("c <> d").select("x", F.col("id").alias("y")))
-        return components(self.links, "groups")
+        """Compare members outside a bucket's main component with all of other components in it, by blocks."""
+        rows = stored(named.join(open_, ["band", "key"]).select("band", "key", "id", "c", "main", "kx", "ky"), "open-rows")
+        own, every = F.xxhash64("id"), lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+        few = rows.where("c <> main").select("band", "key", "id", "c", F.lit(0).alias("role"), F.pmod(own, "kx").cast("int").alias("bx"), F.explode(every("ky")).alias("by"))
+        all_ = rows.select("band", "key", "id", "c", F.lit(1).alias("role"), F.explode(every("kx")).alias("bx"), F.pmod(own, "ky").cast("int").alias("by"))
+        dealt = stored(few.unionByName(all_), "block-rows").join(self.bags, "id")
+        return stored(dealt.groupBy("band", "key", "bx", "by").applyInArrow(_blocks(self.similarity), "a bigint, b bigint"), "links")
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

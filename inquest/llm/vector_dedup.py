@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inquest.llm.common import ship, stored
+from inquest.llm.common import forest, ship, stored
 from inquest.llm.components import components
 
 COSINE, RECALL = 0.9, 0.9999
@@ -147,22 +147,6 @@ def needed_visits(reps: DataFrame, index: MultiIndex, dim: int, cosine: float, r
     return 1 << (_SPREAD - 1), got / total
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the links (a, b) over nodes 0..n-1 connect, fewer than n."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        fresh = label.copy()
-        np.minimum.at(fresh, a, low)
-        np.minimum.at(fresh, b, low)
-        fresh = fresh[fresh]
-        if (fresh == label).all():
-            break
-        label = fresh
-    at = np.flatnonzero(label != np.arange(n))
-    return at, label[at]
-
-
 def _compare(dim: int, cosine: float):
     def run(table: pa.Table) -> pa.Table:
         role = table["role"].to_numpy()
@@ -188,7 +172,7 @@ def _compare(dim: int, cosine: float):
                     out_b.append(sums[hit])
                     kind.append(np.zeros(len(hit), np.int8))
                 names, local = np.unique(np.concatenate([others[q], ids[b]]), return_inverse=True)
-                u, v = _forest(local[: len(q)], local[len(q) :], len(names))
+                u, v = forest(local[: len(q)], local[len(q) :], len(names))
                 out_a.append(names[u])
                 out_b.append(names[v])
                 kind.append(np.ones(len(u), np.int8))
