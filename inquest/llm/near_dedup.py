@@ -198,12 +198,12 @@ class _Buckets:
     def leaders(self) -> DataFrame:
         """Each member with its bucket's leader: the one with the most company over all its buckets, which the
         original of many copies has, then the least id."""
-        sizes = self.members.groupBy("band", "key").agg(F.count("*").alias("n"))
+        sizes = stored(self.members.groupBy("band", "key").agg(F.count("*").alias("n")), "sizes")
         company = self.members.join(sizes, ["band", "key"]).groupBy("id").agg(F.sum("n").alias("company"))
-        ranked = stored(self.members.join(company, "id").select("band", "key", "id", "company"), "ranked")
-        top = stored(ranked.groupBy("band", "key").agg(F.max("company").alias("top")), "top")
-        lead = ranked.join(top, ["band", "key"]).where("company = top").groupBy("band", "key").agg(F.min("id").alias("y"))
-        return self.members.join(stored(lead, "leaders"), ["band", "key"]).select(F.col("id").alias("x"), "y")
+        ranked = self.members.join(stored(company, "company"), "id")
+        lead = ranked.groupBy("band", "key").agg(F.max(F.struct("company", (-F.col("id")).alias("id"))).alias("m"))
+        lead = stored(lead.select("band", "key", (-F.col("m.id")).alias("y")), "leaders")
+        return self.members.join(lead, ["band", "key"]).select(F.col("id").alias("x"), "y")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) whose whole multisets overlap enough."""
@@ -219,11 +219,10 @@ class _Buckets:
         named = self.members.join(labels, F.col("id") == F.col("node"), "left").select("band", "key", "id", F.coalesce("component", "id").alias("c"))
         named = stored(named, "named")
         sizes = named.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
-        most = sizes.groupBy("band", "key").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
         # the component with most members in a bucket, the least id among equals
-        open_ = sizes.join(most, ["band", "key"]).where("n = top").groupBy("band", "key").agg(F.min("c").alias("main"), F.max("all").alias("all"), F.max("top").alias("top"))
-        blocks = [F.ceil(x / self.BLOCK).cast("int").alias(n) for x, n in ((F.col("all") - F.col("top"), "kx"), (F.col("all"), "ky"))]
-        open_ = stored(open_.select("band", "key", "main", *blocks), "open")
+        open_ = sizes.groupBy("band", "key").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("m"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+        blocks = [F.ceil(x / self.BLOCK).cast("int").alias(n) for x, n in ((F.col("all") - F.col("m.n"), "kx"), (F.col("all"), "ky"))]
+        open_ = stored(open_.select("band", "key", (-F.col("m.c")).alias("main"), *blocks), "open")
         if open_.isEmpty():
             return labels
         return components(links.unionByName(self._exhaust(named, open_)), "groups")
