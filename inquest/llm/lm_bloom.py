@@ -35,7 +35,7 @@ from inquest.llm.common import WordHashes, fold_of, mix64, ship, slices, stored
 
 HASHES, BITS = 5, 8
 #: N-grams that a counting task holds before it sends them.
-HELD = 3_000_000
+HELD = 1_500_000
 _ONE, _GOLD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +64,7 @@ class _Hasher:
     """Even hashes for words and odd ones for bigrams; the end and the start are no words."""
 
     def __init__(self) -> None:
-        self.words = WordHashes()
+        self.words = WordHashes(150_000)
         self.end, self.start = (np.uint64(self.words[x] & ~1) for x in (b" end", b" start"))
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ def _counting(shards: int):
             order = np.argsort(shard, kind="stable")
             h, n, at = h[order], n[order], np.searchsorted(shard[order], np.arange(shards + 1))
             used = np.flatnonzero(np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([h[at[s] : at[s + 1]].tobytes() for s in used], pa.binary()), pa.array([n[at[s] : at[s + 1]].tobytes() for s in used], pa.binary())], ["shard", "hashes", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([h[at[s] : at[s + 1]].tobytes() for s in used], pa.binary()), pa.array([n[at[s] : at[s + 1]].astype(np.uint32).tobytes() for s in used], pa.binary())], ["shard", "hashes", "counts"])
 
         for batch in slices(batches, "text"):
             uni, bi, sizes = hashed(batch.column(0).to_pylist())
@@ -123,6 +123,15 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return h[first], np.add.reduceat(n, first) if len(h) else n
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in four bytes each if they fit, else in eight."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64).tobytes()
+
+
+def _unpacked(words: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(words, np.uint64), np.frombuffer(counts, np.uint32 if len(counts) * 2 == len(words) else np.int64)
+
+
 class LogBloom:
     """Levels of hashes in one bit array."""
 
@@ -158,7 +167,7 @@ def _building(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: dict[int, list] = defaultdict(list)
     for batch in batches:
         for s, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            parts[s].append((np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)))
+            parts[s].append((np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64)))
     hashed = _Hasher()
     for s in sorted(parts):
         h, n = summed(parts.pop(s))
@@ -166,7 +175,7 @@ def _building(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = (h & _ONE == 0) & (h != hashed.start)
         one, two = int((n[words] == 1).sum()), int((n[words] == 2).sum())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([s]), pa.array([LogBloom.holding(h, level).bits.tobytes()], pa.binary()), pa.array([h[words].tobytes()], pa.binary()), pa.array([n[words].tobytes()], pa.binary())]
+            [pa.array([s]), pa.array([LogBloom.holding(h, level).bits.tobytes()], pa.binary()), pa.array([h[words].tobytes()], pa.binary()), pa.array([_packed(n[words])], pa.binary())]
             + [pa.array([v]) for v in (int(n[words].sum()), int(words.sum()), one, two, float(VALUE[level[words]].sum()))],
             ["shard", "bits", "words", "counts", "total", "kinds", "once", "twice", "read"],
         )
@@ -215,7 +224,7 @@ def _probing(sent, n_shards: int, total: int, kinds: int):
     floor = total + 0.1 * (kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {s: (LogBloom(np.frombuffer(b, np.uint8)), np.frombuffer(w, np.uint64), np.frombuffer(n, np.int64)) for s, (b, w, n) in sent.value.items()}
+        held = {s: (LogBloom(np.frombuffer(b, np.uint8)), *_unpacked(w, n)) for s, (b, w, n) in sent.value.items()}
         hashed = _Hasher()
         for batch in slices(batches, "text"):
             uni, bi, sizes = hashed(batch.column(1).to_pylist())

@@ -107,7 +107,7 @@ class MultiIndex:
         a, b = self.halves(query)
         own = a[np.arange(len(query)), cell // len(self.right)] + b[np.arange(len(query)), cell % len(self.right)]
         b = np.sort(b, 1)
-        return np.array([sum(np.searchsorted(b[i], own[i] - a[i], "left")) for i in range(len(query))], np.int64)
+        return np.array([sum(np.searchsorted(b[i], own[i] - a[i] - 1e-9, "left")) for i in range(len(query))], np.int64)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
