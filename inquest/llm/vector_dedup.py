@@ -33,7 +33,7 @@ from inquest.llm.components import components
 COSINE, RECALL = 0.9, 0.9999
 SAMPLE = 20_000
 PROBES_TRIED = 1024
-BLOCK = 512
+BLOCK = 256
 #: Vectors that a cell holds, about; the codebooks' largest size.
 CELL, MOST_CODES = 16, 1024
 _SPREAD = 17  # probe counts tried: 2**0 .. 2**(_SPREAD - 1)
