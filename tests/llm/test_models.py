@@ -1,0 +1,163 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from inquest.llm import langid, lm_bloom, quality_rules, quality_sites, textstats
+from pyspark.sql import functions as F
+
+SYLLABLES = {"aa": ["the", "ing", "tion", "er"], "bb": ["que", "eau", "oi", "ment"], "cc": ["sch", "ung", "keit", "ü"]}
+
+
+def texts(n=240, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        lang = list(SYLLABLES)[i % 3]
+        words = ["".join(rng.choice(SYLLABLES[lang], rng.integers(1, 4))) for _ in range(rng.integers(3, 60))]
+        rows.append((i, " ".join(words), lang if i % 11 else None))
+    return rows
+
+
+def test_language_on_held_out_documents(spark):
+    rows = texts() + [(900, None, "aa"), (901, "12 34 !?", "bb"), (902, "", None), (None, "the ing tion", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in langid.predictions(docs).collect()}
+    real = {i: lang for i, _, lang in rows if lang and i is not None and i < 900}
+    assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in real)
+    held = [i for i in real if out[i].held_out]
+    assert np.mean([out[i].lang_pred == real[i] for i in held]) >= 0.97
+    assert all(0 <= r.score <= 1 for r in out.values())
+    assert [out[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3
+
+
+def test_language_ignores_lang_source_and_id_when_predicting(spark):
+    rows = texts(90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    moved = docs.select((F.col("doc_id") + 7000).alias("doc_id"), "text", F.lit("zz").alias("lang"))
+    a, b = ({r.doc_id % 7000: (r.lang_pred, r.score) for r in langid.predict(d, model).collect()} for d in (docs, moved))
+    assert a == b
+    assert (model.weights == 0).mean() > 0.3
+
+
+def test_language_without_training_rows(spark):
+    docs = spark.createDataFrame([(1, "hello", None)], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in langid.predictions(docs).collect()] == ["und"]
+    assert langid.predictions(docs.limit(0)).count() == 0
+    one = spark.createDataFrame([(i, "hello there", "en") for i in range(6)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.predictions(one).collect()} == {"en"}
+
+
+def repeats(words, span=8):
+    seen = Counter(tuple(words[i : i + span]) for i in range(len(words) - span + 1))
+    hit = {k for i in range(len(words) - span + 1) if seen[tuple(words[i : i + span])] > 1 for k in range(i, i + span)}
+    return len(hit)
+
+
+def test_repeated_words_as_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        words = [str(x) for x in rng.integers(0, rng.choice([1, 2, 3, 50]), rng.integers(0, 60))]
+        words += words[5:25] * rng.integers(0, 2)
+        assert textstats.repeated_words(words) == repeats(words)
+
+
+def test_counts_of_a_text():
+    got = dict(zip(textstats.FIELDS, textstats.stats("A b!! #c\n\nA b!! #c\n \t\nd. |\xa0x"), strict=True))
+    assert (got["n_words"], got["word_chars"], got["n_symbols"], got["n_dup_lines"], got["n_lines"]) == (8, 17, 3, 1, 3)
+    assert textstats.stats(None) == textstats.stats("") == (0,) * len(textstats.FIELDS)
+
+
+def prose(rng, n):
+    return " ".join(("".join(rng.choice(list("abcdefgh"), 5)) + (rng.random() < 0.1) * ".") for _ in range(n)) + "."
+
+
+def quality_rows():
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(rng, int(rng.integers(40, 120))), 1) for i in range(150)]
+    rows += [(200 + i, " ".join(w + "***" for w in prose(rng, 60).split()), 0) for i in range(20)]
+    rows += [(300 + i, " | ".join(prose(rng, 60).replace(".", "").split()), 0) for i in range(20)]
+    return rows
+
+
+def test_rules_tell_junk_from_prose(spark):
+    rows = quality_rows() + [(900, None, 0), (901, "", 0), (902, "too short", 0), (903, "na na " * 60, 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    out = {r.doc_id: r for r in quality_rules.verdicts(docs).collect()}
+    assert all(out[i].kept == bool(good) for i, _, good in rows)
+    assert all(out[i].base_failed for i in (900, 901, 902, 903)) and out[900].n_words == 0
+    assert quality_rules.verdicts(docs.limit(0)).count() == 0
+
+
+def test_em_finds_accuracies():
+    rng = np.random.default_rng(0)
+    y = (rng.random(20_000) > 0.75).astype(int)  # 1 is bad
+    right = np.array([0.9, 0.8, 0.7, 0.85])
+    votes = np.where(rng.random((len(y), 4)) < right, y[:, None], 1 - y[:, None])
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality_rules.LabelModel.fit(patterns, counts.astype(float))
+    assert abs(model.good - 0.75) < 0.03
+    assert np.allclose(model.votes[0, :, 0], right, atol=0.04)
+
+
+def test_sites_shrink_to_their_hosts(spark):
+    rng = np.random.default_rng(9)
+    rows, labels = [], []
+    for i, text, good in quality_rows():
+        rows.append((i, text, "bad.example" if not good else f"h{i % 4}.example" if i % 9 else None, f"/p{i % 2}"))
+        if rng.random() < 0.5:
+            labels.append((i, good))
+    rows.append((990, prose(rng, 80), "bad.example", "/p0"))
+    labels += [(5, None), (None, 1), (123456, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality_sites.score(docs, lab, F.col("host"), F.col("path")).collect()}
+    assert len(out) == len(rows)
+    good = dict((i, g) for i, _, g in quality_rows())
+    assert np.mean([out[i].kept == bool(g) for i, g in good.items()]) > 0.97
+    assert out[990].path_share < out[0].path_share and out[990].quality < out[990].document
+    empty = quality_sites.score(docs.limit(0), lab, F.col("host"), F.col("path"))
+    assert empty.count() == 0
+    none = quality_sites.score(docs, lab.limit(0), F.col("host"), F.col("path")).collect()
+    assert {round(r.document, 6) for r in none} == {0.5}
+
+
+def lm_rows():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[(k * 7 + j) % 60] if rng.random() < 0.7 else str(rng.choice(words)) for j in range(int(rng.integers(1, 30)))).title()) for i, k in enumerate(rng.integers(0, 60, 150))]
+    return rows + [(900, None), (901, ""), (902, "Étoile \x0b unknown\twords"), (903, "end"), (None, "w1 w2")]
+
+
+def test_scores_as_brute_force(spark):
+    rows = lm_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in lm_bloom.scores(docs).collect()}
+    toks = {i: (t or "").encode().lower().split() + [b" end"] for i, t in rows}
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i in toks}
+    c = Counter(w for i, ws in toks.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for i, ws in toks.items():
+        r = out[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
+        assert r.base_score == pytest.approx(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
+        assert r.score <= 0
+    assert sum(out[i].score for i in toks if held[i]) > sum(out[i].base_score for i in toks if held[i])
+    few = lm_bloom.score(docs, ~F.lit(False), broadcast_bytes=3000)
+    one = lm_bloom.score(docs, ~F.lit(False))
+    a, b = ({r.doc_id: r.score for r in d.collect()} for d in (few, one))
+    assert all(a[i] == pytest.approx(b[i]) for i in a)
+    assert lm_bloom.scores(docs.limit(0)).count() == 0
+
+
+def test_bloom_levels_never_fall_short():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    level = rng.integers(1, 12, 5000)
+    bloom = lm_bloom.LogBloom.holding(h, level)
+    got = bloom.levels(h)
+    assert (got >= level).all() and (got == level).mean() > 0.95
+    assert (bloom.levels(rng.integers(0, 2**63, 5000, dtype=np.uint64)) > 0).mean() < 0.06
+    assert all(lm_bloom.VALUE[:6] == [0, 1, 2, 3, 4, 5]) and (np.diff(lm_bloom.VALUE) > 0).all()
