@@ -131,7 +131,7 @@ def ai_join(left: DataFrame, right: DataFrame, call: ModelCall, left_doc: str, r
 def ai_fetch(df: DataFrame, call: ModelCall, documents: Sequence[Column | str], n: int, order: Sequence[Column], backend: ModelBackend, key: Sequence[str] = (), log: AskLog | None = None) -> DataFrame:
     """The first n rows (of each key) in order that pass an AI.IF, asking batch after batch until they are found.
 
-    A batch has as many rows as should hold what is still missing, and twice as many each time it didn't.
+    The first batch has n rows of each key, or 2 n rows without keys, and each further one twice as many.
     Without a key the rows of a batch are cut by their number; with keys, each round asks only keys that still
     miss rows, so an early key costs nothing in later rounds.
     """
@@ -148,7 +148,7 @@ def ai_fetch(df: DataFrame, call: ModelCall, documents: Sequence[Column | str],
         own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
         numbered = kept(parts.withColumn("__own", own).join(before, "__part").withColumn("__n", F.col("__own") + F.col("__before")).drop("__own", "__before", "__part"), "numbered")
     most = numbered.agg(F.max("__n")).first()[0] or 0
-    found, done, size = None, 0, max(1, min(n, round(n / max(call.keeps, 1e-3))))
+    found, done, size = None, 0, n if key else 2 * n
     while done < most:
         batch = numbered.where((F.col("__n") > done) & (F.col("__n") <= done + size))
         if key and found is not None:

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from inquest.errors import CompileError
 from inquest.functions import documents as documents_
-from inquest.operators.ask import check_support
+from inquest.operators.ask import AskLog, check_support
 from inquest.operators.backends import ExprBackend, ModelBackend, answer_type, asking
 from inquest.operators.calls import ModelCall
+from inquest.plans.eager import Planner
 from inquest.plans.registry import ExtensionRegistry
 from inquest.plans.sqlfront import Front, Rewritten
 from inquest.sources import catalog as sources
@@ -26,13 +27,14 @@ from inquest.sources.shared import kept, workers_import
 class AiSession:
     """SQL with questions to a model, over an existing SparkSession."""
 
-    def __init__(self, spark: SparkSession | None = None, model: ModelBackend | str | None = None, registry: ExtensionRegistry | None = None) -> None:
+    def __init__(self, spark: SparkSession | None = None, model: ModelBackend | str | None = None, registry: ExtensionRegistry | None = None, without: Sequence[str] = ()) -> None:
         self.spark = spark or SparkSession.builder.getOrCreate()
         self.registry = registry or ExtensionRegistry()
         self.model = self.registry.model(model) if isinstance(model, str) else model or ExprBackend()
         self.catalog = sources.Catalog(self.spark)
         self.prepared: dict[str, tuple[str, str]] = {}
         self._asks: dict[ModelCall, str] = {}
+        self.without = tuple(without)
         workers_import(self.spark)
 
     def __enter__(self) -> AiSession:
@@ -116,6 +118,8 @@ class Query:
         self.calls: list[ModelCall] = []
         self._act: Callable[[], DataFrame] | None = None
         self.spark_sql = ""
+        self.asked: AskLog | None = None
+        self._rows: DataFrame | None = None
         self._bind()
 
     def _bind(self) -> None:
@@ -167,9 +171,20 @@ class Query:
             for rule in s.registry.rules:
                 self.spark_sql = rule(self.spark_sql)
             df = self._analysed()
-            self._act = lambda: df
-
-    def _analysed(self) -> DataFrame:
+            if self.calls and s.model.expression(self.calls[0], ["NULL"] * self.calls[0].documents) is None:
+                self._act = self._planned
+            else:
+                self._act = lambda: df
+
+    def _planned(self) -> DataFrame:
+        """The rows with a model that answers outside Spark; the questions are asked here, once a query."""
+        if self._rows is None:
+            planner = Planner(self.session, self.dialect, self.session.without)
+            self._rows = planner.run(self.text)
+            self.asked = planner.log
+        return self._rows
+
+    def _analysed(self) -> DataFrame | None:
         try:
             return self.session.spark.sql(self.spark_sql)
         except (AnalysisException, ParseException) as e:
@@ -255,7 +270,7 @@ class QueryResult:
 
     def report(self) -> dict:
         calls = list(dict.fromkeys(c.identity() for c in self.query.calls))
-        return {"model": self.query.session.model.name, "calls": [{"kind": c.kind, "question": c.question} for c in calls], "rows": self._rows, "wall_seconds": self._seconds}
+        return {"model": self.query.session.model.name, "calls": [{"kind": c.kind, "question": c.question} for c in calls], "rows": self._rows, "wall_seconds": self._seconds, "asked": self.query.asked.total if self.query.asked else None}
 
 
 def explain_error(e: Exception) -> str:
