@@ -186,7 +186,7 @@ def _blocks(similarity: float):
 class _Buckets:
     """Candidate search over the members of buckets, without all pairs of a bucket."""
 
-    BLOCK = 256
+    BLOCK = 128
 
     def __init__(self, docs: DataFrame, members: DataFrame, similarity: float) -> None:
         self.similarity = similarity
