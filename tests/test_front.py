@@ -1,4 +1,6 @@
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.parquet
 import pytest
 
 from inquest.errors import CompileError, RefusalError, SimilarCallWarning
