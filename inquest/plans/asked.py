@@ -55,6 +55,8 @@ SHAPES: dict[str, tuple[Callable[[], pa.Table], ArrowBackend, str, int]] = {
     "if or if with a hint": (_rows, planted("03", "234"), f"SELECT r.id FROM reviews r WHERE {_IF} OR AI.IF(PROMPT('long: {{0}}', r.body), {{'selectivity': 0.9}})", 9),
     "plain or if or if": (lambda: _rows(long=[True, False, None, True, False, True]), planted("4", "1"), f"SELECT r.id FROM reviews r WHERE r.long OR {_IF} OR {_LONG}", 5),
     "copies": (lambda: pa.table({"id": list("abcdef"), "body": ["b0", "b1", "b0", "b2", "b1", "b0"]}), planted("02"), f"SELECT r.id FROM reviews r WHERE {_IF}", 3),
+    "extract like": (lambda: pa.table({"id": list("abcde"), "body": ["until 2027", "May 2026", "2027 it is", "no year", "from 2027 on"]}), planted(), "SELECT r.id FROM reviews r WHERE AI.EXTRACT(r.body, {'w': 'which year'})['w'] LIKE '%2027%'", 3),
+    "copies in a join": (lambda: pa.table({"id": list("abcdef"), "body": ["b0", "b1", "b0", "b2", "b1", "b0"], "hotel": [1, 1, 1, 2, 2, 2]}), planted("02"), "SELECT a.id, b.id AS other FROM reviews a JOIN reviews b ON a.hotel = b.hotel AND AI.IF(PROMPT('kind: {0} {1}', a.body, b.body))", 9),
     "order by id limit 5": (_rows, planted(), "SELECT r.id, AI.EXTRACT(r.body, {'w': 'which word'})['w'] AS w FROM reviews r ORDER BY r.id LIMIT 5", 5),
     "shared and unread": (_rows, planted("01"), f"WITH a AS (SELECT r.id, {_IF} AS k FROM reviews r), b AS (SELECT r.id, {_TONE} AS t FROM reviews r) SELECT x.id FROM a x JOIN a y ON x.id = y.id WHERE x.k", 7),
 }

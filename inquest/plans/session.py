@@ -79,7 +79,14 @@ class AiSession:
         return Query(self, text, dialect)
 
     def front(self, dialect: str) -> Front:
-        return Front(self._answer, documents_.sql_call(self.spark), dialect, lambda name: self.catalog.labels.get(name.lower()))
+        return Front(self._answer, documents_.sql_call(self.spark), dialect, self.labels_of, self.columns_of)
+
+    def labels_of(self, name: str) -> list | None:
+        return self.catalog.labels.get(name.lower())
+
+    def columns_of(self, name: str) -> list[str] | None:
+        table = self.catalog.tables.get(name.lower())
+        return None if table is None else table.columns
 
     def _answer(self, call: ModelCall, documents: list[str]) -> str:
         check_support(self.model, call)
@@ -170,11 +177,11 @@ class Query:
             self.calls, self.spark_sql = done.calls, done.sql
             for rule in s.registry.rules:
                 self.spark_sql = rule(self.spark_sql)
+            outside = bool(self.calls) and s.model.expression(self.calls[0], ["NULL"] * self.calls[0].documents) is None
+            if outside:  # the text is analysed with a model that Spark takes anywhere
+                self.spark_sql = Front(ExprBackend().expression, documents_.sql_call(spark), self.dialect, s.labels_of, s.columns_of).rewrite(self.text).sql
             df = self._analysed()
-            if self.calls and s.model.expression(self.calls[0], ["NULL"] * self.calls[0].documents) is None:
-                self._act = self._planned
-            else:
-                self._act = lambda: df
+            self._act = self._planned if outside else lambda: df
 
     def _planned(self) -> DataFrame:
         """The rows with a model that answers outside Spark; the questions are asked here, once a query."""

@@ -39,6 +39,14 @@ TEXTS = [
     f"WITH c AS (SELECT id, {SCORE} AS x FROM r) SELECT a.id FROM c a JOIN c b ON a.x = b.x AND a.id < b.id",
     f"SELECT id, CASE WHEN stars > 2 THEN {SCORE} ELSE 0.5 END AS x FROM r ORDER BY id LIMIT 3",
     "SELECT AI.MAP('a b', 'shorten') AS m",
+    *(f"SELECT r.id, u.name FROM r {how} JOIN u ON r.id = u.uid AND AI.IF(PROMPT('{{0}} by {{1}}', r.body, u.name))" for how in ("LEFT", "RIGHT", "FULL OUTER")),
+    "SELECT r.id FROM r LEFT SEMI JOIN u ON AI.IF(PROMPT('{0} by {1}', r.body, u.name))",
+    "SELECT * FROM r, u WHERE r.stars > 1 AND AI.IF(PROMPT('{0} by {1}', body, u.name)) AND uid = id",
+    "SELECT r.id FROM r WHERE EXISTS (SELECT 1 FROM u WHERE AI.IF(PROMPT('{0} by {1}', r.body, u.name)) AND u.uid <> r.id)",
+    "SELECT r.id, r.stars FROM r WHERE stars > 0 AND NOT EXISTS (SELECT 1 FROM u WHERE AI.IF(PROMPT('{0} by {1}', r.body, u.name)))",
+    "SELECT a.id, AI.CLASSIFY(PROMPT('{0} or {1}', a.body, b.body), ['x', 'y']) AS c FROM r a JOIN r b ON a.stars < b.stars AND AI.SCORE(PROMPT('{0} to {1}', a.body, b.body)) >= 0.25",
+    "SELECT id FROM r WHERE AI.EXTRACT(body, {'w': 'who'})['w'] LIKE '%o%'",
+    "SELECT uid, COUNT(*) AS n FROM u LEFT JOIN r ON r.id = u.uid AND AI.IF(PROMPT('is {0} good', r.body)) GROUP BY uid HAVING COUNT(*) >= 1",
 ]
 
 
