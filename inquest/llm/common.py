@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,17 +125,18 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 class WordHashes(dict):
-    """Stable 64-bit hash of each word, remembered up to a bound."""
+    """Stable 64-bit hash of each word; words met lately are remembered, two generations of a bounded number."""
 
-    def __init__(self, bound: int = 400_000) -> None:
+    def __init__(self, bound: int = 200_000) -> None:
         super().__init__()
-        self.bound = bound
+        self.bound, self.old = bound, {}
 
     def __missing__(self, word: str | bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
+        h = self.old.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         if len(self) >= self.bound:
+            self.old = dict(self)
             self.clear()
         self[word] = h
         return h

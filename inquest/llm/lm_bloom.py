@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ class _Hasher:
     """Even hashes for words and odd ones for bigrams; the end and the start are no words."""
 
     def __init__(self) -> None:
-        self.words = WordHashes(150_000)
+        self.words = WordHashes(120_000)
         self.end, self.start = (np.uint64(self.words[x] & ~1) for x in (b" end", b" start"))
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,8 +76,7 @@ class _Hasher:
         uni = np.empty(int(sizes.sum()), np.uint64)
         inner = np.ones(len(uni), bool)
         inner[ends] = False
-        get = self.words.__getitem__
-        uni[inner] = np.fromiter((get(w) for s in split for w in s), np.uint64, int(inner.sum()))
+        uni[inner] = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.uint64, int(inner.sum()))
         uni &= ~_ONE
         uni[ends] = self.end
         before = np.roll(uni, 1)
@@ -140,25 +140,36 @@ class LogBloom:
 
     @classmethod
     def holding(cls, h: np.ndarray, level: np.ndarray, bits_each: int = BITS) -> LogBloom:
-        made = cls(np.zeros(max(64, int(level.sum()) * bits_each + 7 >> 3), np.uint8))
+        size = max(64, int(level.sum()) * bits_each + 7 >> 3)
+        if size >= 1 << 29:
+            raise ValueError("a shard is too large; raise the number of shuffle partitions")
+        made = cls(np.zeros(size, np.uint8))
         for j in range(1, int(level.max(initial=0)) + 1):
-            at = made._places(h[level >= j], j).ravel()
-            np.bitwise_or.at(made.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            a = cls._mixed(h[level >= j], j)
+            for k in range(HASHES):
+                at = made._place(a, k)
+                np.bitwise_or.at(made.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         return made
 
-    def _places(self, h: np.ndarray, level: int) -> np.ndarray:
-        a = mix64(h + np.uint64(level * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
-        b = mix64(a) | _ONE
-        k = np.arange(HASHES, dtype=np.uint64)
-        return ((a[:, None] + k * b[:, None]) % np.uint64(len(self.bits) * 8)).astype(np.int64)
+    def _place(self, a: np.ndarray, k: int) -> np.ndarray:
+        """The k-th bit of hashes that a level has mixed: shards have fewer than 2**32 bits."""
+        step = (a >> np.uint64(32)) | _ONE
+        return ((a + np.uint64(k) * step & np.uint64(0xFFFFFFFF)) * np.uint64(len(self.bits) * 8) >> np.uint64(32)).astype(np.int64)
+
+    @staticmethod
+    def _mixed(h: np.ndarray, level: int) -> np.ndarray:
+        return mix64(h + np.uint64(level * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Probe level after level until one is missing."""
         out, at, level = np.zeros(len(h), np.uint8), np.arange(len(h)), 0
         while len(at) and level < N_LEVELS - 1:
             level += 1
-            p = self._places(h[at], level)
-            at = at[(self.bits[p >> 3] >> (p & 7) & 1).all(1)]
+            a = self._mixed(h[at], level)
+            for k in range(HASHES):  # the first bit that is missing decides
+                p = self._place(a, k)
+                there = (self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+                at, a = at[there], a[there]
             out[at] = level
         return out
 
