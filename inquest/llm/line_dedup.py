@@ -132,7 +132,7 @@ class LineIndex:
         shared = stored(references(postings).where("n_docs > 1"), "shared-lines")
         if shards is None:
             shards = max(1, -(-shared.count() // SHARD_KEYS))
-        filters = shared.select("h1", "h2", F.pmod("h1", F.lit(shards)).alias("shard")).repartition(shards, "shard")
+        filters = shared.select("h1", "h2", F.pmod("h1", F.lit(shards)).alias("shard")).repartitionById(shards, F.col("shard").cast("int"))
         return cls(postings, shared, stored(filters.mapInPandas(_build, "shard bigint, buckets binary"), "line-filters"), shards, min_chars)
 
     def insert(self, docs: DataFrame) -> LineIndex:
@@ -156,7 +156,7 @@ class LineIndex:
         filters = stored(filters, "line-filters")
         full = filters.where("buckets IS NULL").select("shard")
         again = shared.withColumn("shard", F.pmod("h1", F.lit(self.shards))).join(full, "shard", "left_semi").select("h1", "h2", "shard")
-        rebuilt = again.repartition(self.shards, "shard").mapInPandas(_build, "shard bigint, buckets binary")
+        rebuilt = again.repartitionById(self.shards, F.col("shard").cast("int")).mapInPandas(_build, "shard bigint, buckets binary")
         return LineIndex(after, shared, stored(filters.where("buckets IS NOT NULL").unionByName(rebuilt), "line-filters"), self.shards, self.min_chars)
 
 

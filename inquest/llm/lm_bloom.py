@@ -211,7 +211,7 @@ def learn(docs: DataFrame) -> Corpus:
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.select("text").mapInArrow(_counting(n), "shard bigint, hashes binary, counts binary").repartition(n, "shard")
+    blocks = docs.select("text").mapInArrow(_counting(n), "shard bigint, hashes binary, counts binary").repartitionById(n, F.col("shard").cast("int"))
     made = stored(blocks.mapInArrow(_building, "shard bigint, bits binary, words binary, counts binary, total bigint, kinds bigint, once bigint, twice bigint, read double"), "ngrams")
     sums = made.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "kinds", "once", "twice", "read"))).first()
     return Corpus(made, n, *sums)
