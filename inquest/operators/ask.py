@@ -154,6 +154,8 @@ def ai_fetch(df: DataFrame, call: ModelCall, documents: Sequence[Column | str],
         if key and found is not None:
             full = found.groupBy(*key).agg(F.count("*").alias("__c")).where(F.col("__c") >= n)
             batch = batch.join(full, list(key), "left_anti")
+            if batch.isEmpty():  # a key's rows are numbered without gaps: none misses a row any more
+                break
         passed = kept(ask(batch, call, documents, "__test", backend, log=log).where("__test").drop("__test"), "passed")
         found = passed if found is None else found.unionByName(passed)
         done, size = done + size, size * 2

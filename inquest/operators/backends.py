@@ -82,7 +82,7 @@ class ExprBackend:
 
     def field(self, question: str, document: str) -> str:
         """The first, second or third word of the document; null if there is none."""
-        return f"(CASE WHEN ({document}) IS NOT NULL THEN nullif(split_part({document}, ' ', cast(({self._weight([document])} + {key_of(question)}) % 3 + 1 AS int)), '') END)"
+        return f"(CASE WHEN ({document}) IS NOT NULL THEN nullif(split_part(substring_index({document}, ' ', 3), ' ', cast(({self._weight([document])} + {key_of(question)}) % 3 + 1 AS int)), '') END)"
 
     def ask(self, call: ModelCall, documents: Sequence[Sequence[str]]) -> list:
         """The same in Python."""
