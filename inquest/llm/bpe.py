@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from inquest.llm.common import ship, slices
 
 #: The byte-level pre-tokeniser's pattern.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+(?!\S)|\s+"
 #: Below these code points all Unicode versions agree about letters, numbers and white space.
 _LATIN_END, _AGREED_END = 0x250, 0x500
 
@@ -39,7 +39,7 @@ def _latin_pattern() -> re.Pattern:
         return "".join(re.escape(chr(c)) for c in range(_LATIN_END) if regex.match(what, chr(c)))
 
     letters, numbers, white = members(r"\p{L}"), members(r"\p{N}"), members(r"\s")
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{white}{letters}{numbers}]+|[{white}]+(?![^{white}])|[{white}]+")
+    return re.compile(f"'(?:[sdmt]|ll|ve|re)| ?(?:[{letters}]+|[{numbers}]+|[^{white}{letters}{numbers}]+)|[{white}]+(?![^{white}])|[{white}]+")
 
 
 def _byte_letters() -> dict[str, int]:
