@@ -209,7 +209,7 @@ def read_png(raw: bytes) -> np.ndarray:
 
 def write_png(image: np.ndarray) -> bytes:
     h, w, channels = image.shape
-    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(name)))
     rows = np.c_[np.zeros((h, 1), np.uint8), image.reshape(h, w * channels)].tobytes()
     head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[channels], 0, 0, 0)
     return PNG + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")

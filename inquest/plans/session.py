@@ -24,6 +24,15 @@ from inquest.sources import catalog as sources
 from inquest.sources.shared import kept, workers_import
 
 
+def _from_path(read: Callable[[SparkSession, str], DataFrame]) -> Callable[..., DataFrame]:
+    """A method that registers what ``read`` finds at a path."""
+
+    def register(self: AiSession, name: str, path: str, id_col: str = "") -> DataFrame:
+        return self.catalog.add(name, read(self.spark, path), id_col)
+
+    return register
+
+
 class AiSession:
     """SQL with questions to a model, over an existing SparkSession."""
 
@@ -51,17 +60,10 @@ class AiSession:
     def register(self, name: str, table: Any, id_col: str = "") -> DataFrame:
         return self.catalog.add(name, sources.to_frame(self.spark, table), id_col)
 
-    def register_parquet(self, name: str, path: str, id_col: str = "") -> DataFrame:
-        return self.catalog.add(name, sources.read_parquet(self.spark, path), id_col)
-
-    def register_json(self, name: str, path: str, id_col: str = "") -> DataFrame:
-        return self.catalog.add(name, sources.read_json(self.spark, path), id_col)
-
-    def register_csv(self, name: str, path: str, id_col: str = "") -> DataFrame:
-        return self.catalog.add(name, sources.read_csv(self.spark, path), id_col)
-
-    def register_ipc(self, name: str, path: str, id_col: str = "") -> DataFrame:
-        return self.catalog.add(name, sources.read_ipc(self.spark, path), id_col)
+    register_parquet = _from_path(sources.read_parquet)
+    register_json = _from_path(sources.read_json)
+    register_csv = _from_path(sources.read_csv)
+    register_ipc = _from_path(sources.read_ipc)
 
     def register_hf(self, name: str, dataset: str, id_col: str = "", **options: Any) -> DataFrame:
         return self.catalog.add(name, sources.read_hf(self.spark, dataset, **options), id_col)
@@ -72,7 +74,7 @@ class AiSession:
 
     # ---- queries
 
-    def sql(self, text: str, order: str | None = None, dialect: str = "snowflake") -> Query:
+    def sql(self, text: str, *, dialect: str = "snowflake", order: str | None = None) -> Query:
         """A query, bound at once: mistakes show here, before anything runs."""
         if order not in (None, "as_written", "by_cost"):
             raise CompileError(f"unknown order '{order}'; expected as_written or by_cost")
@@ -104,7 +106,7 @@ class AiSession:
             self._asks[key] = name
         return f"{self._asks[key]}({', '.join(documents)})"
 
-    def estimate_calls(self, text: str, dialect: str = "snowflake") -> list[ModelCall]:
+    def estimate_calls(self, text: str, *, dialect: str = "snowflake") -> list[ModelCall]:
         """The different calls of a query, without running it."""
         return list(dict.fromkeys(c.identity() for c in self.front(dialect).rewrite(text).calls))
 

@@ -217,11 +217,12 @@ class RemoteSession:
 
     def __init__(self, location: str, token: str | None = None) -> None:
         self.client = fl.connect(location)
-        self.options = fl.FlightCallOptions(headers=[(b"authorization", f"Bearer {token}".encode())] if token else [])
+        self.options = fl.FlightCallOptions(headers=[] if token is None else [(b"authorization", b"Bearer " + token.encode())])
 
     def _act(self, kind: str, body: Any) -> Any:
-        raw = body if isinstance(body, str) else json.dumps(body)
-        return json.loads(next(iter(self.client.do_action(fl.Action(kind, raw.encode()), self.options))).body.to_pybytes())
+        action = fl.Action(kind, (body if isinstance(body, str) else json.dumps(body)).encode())
+        (reply,) = self.client.do_action(action, self.options)
+        return json.loads(reply.body.to_pybytes())
 
     def register(self, name: str, table: pa.Table, id_col: str = "") -> None:
         writer, _ = self.client.do_put(fl.FlightDescriptor.for_path(*([name, id_col] if id_col else [name])), table.schema, self.options)

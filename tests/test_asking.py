@@ -19,34 +19,34 @@ def test_questions_asked(spark, shape):
     assert rows == same or "limit" in shape and len(rows) == len(same)
 
 
-R = {"id": ["r1", "r2", "r3", "r4", "r5", "r6"], "body": ["good one", "bad", "so so", None, "", "bad"], "stars": [5, 1, 3, 4, None, 1]}
-U = {"uid": ["r1", "r2", "u9", "r2"], "name": ["ann", "bob", None, "bob"]}
-CALL = "AI.IF(PROMPT('is {0} good', body))"
-SCORE = "AI.SCORE(PROMPT('rate {0}', body))"
+R = {"id": ["k1", "k2", "k3", "k4", "k5", "k6"], "note": ["fine thing", "bad", "so so", None, "", "bad"], "stars": [5, 1, 3, 4, None, 1]}
+U = {"uid": ["k1", "k2", "u9", "k2"], "name": ["ann", "bob", None, "bob"]}
+CALL = "AI.IF(PROMPT('is {0} good', note))"
+SCORE = "AI.SCORE(PROMPT('rate {0}', note))"
 TEXTS = [
     f"SELECT id FROM r WHERE {CALL}",
     f"SELECT id FROM r WHERE NOT {CALL} AND stars > 1",
     f"SELECT id, {CALL} AS a, {SCORE} AS b FROM r WHERE {SCORE} >= 0.25 OR stars = 3",
-    "SELECT AI.CLASSIFY(body, ['a', 'b']) AS c, COUNT(*) AS n FROM r GROUP BY AI.CLASSIFY(body, ['a', 'b']) HAVING COUNT(*) > 1",
+    "SELECT AI.CLASSIFY(note, ['a', 'b']) AS c, COUNT(*) AS n FROM r GROUP BY AI.CLASSIFY(note, ['a', 'b']) HAVING COUNT(*) > 1",
     f"SELECT id, ROW_NUMBER() OVER (ORDER BY {SCORE} DESC, id) AS n FROM r",
-    "SELECT t.id, AI.CLASSIFY(t.m, ['x', 'y']) AS l FROM (SELECT id, AI.MAP(body, 'name it') AS m FROM r WHERE stars IS NOT NULL) t",
+    "SELECT t.id, AI.CLASSIFY(t.m, ['x', 'y']) AS l FROM (SELECT id, AI.MAP(note, 'name it') AS m FROM r WHERE stars IS NOT NULL) t",
     f"SELECT id FROM r WHERE {CALL} UNION SELECT uid FROM u ORDER BY id",
-    "SELECT id, AI.EXTRACT(body, {'w': 'who', 'v': 'what'})['v'] AS w, AI.EXTRACT_SPAN(body, {'w': 'who'})['w']['start'] AS s FROM r",
+    "SELECT id, AI.EXTRACT(note, {'w': 'who', 'v': 'what'})['v'] AS w, AI.EXTRACT_SPAN(note, {'w': 'who'})['w']['start'] AS s FROM r",
     f"SELECT uid FROM u WHERE uid IN (SELECT id FROM r WHERE {CALL})",
-    "SELECT uid FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id = u.uid AND AI.IF(PROMPT('is {0} good', r.body)))",
-    "SELECT r.id, u.name FROM r JOIN u ON r.id = u.uid AND AI.IF(PROMPT('{0} by {1}', r.body, u.name))",
+    "SELECT uid FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id = u.uid AND AI.IF(PROMPT('is {0} good', r.note)))",
+    "SELECT r.id, u.name FROM r JOIN u ON r.id = u.uid AND AI.IF(PROMPT('{0} by {1}', r.note, u.name))",
     f"SELECT COUNT(*) FILTER (WHERE {CALL}) AS n, SUM(CASE WHEN {CALL} THEN stars END) AS m FROM r",
     f"WITH c AS (SELECT id, {SCORE} AS x FROM r) SELECT a.id FROM c a JOIN c b ON a.x = b.x AND a.id < b.id",
     f"SELECT id, CASE WHEN stars > 2 THEN {SCORE} ELSE 0.5 END AS x FROM r ORDER BY id LIMIT 3",
     "SELECT AI.MAP('a b', 'shorten') AS m",
-    *(f"SELECT r.id, u.name FROM r {how} JOIN u ON r.id = u.uid AND AI.IF(PROMPT('{{0}} by {{1}}', r.body, u.name))" for how in ("LEFT", "RIGHT", "FULL OUTER")),
-    "SELECT r.id FROM r LEFT SEMI JOIN u ON AI.IF(PROMPT('{0} by {1}', r.body, u.name))",
-    "SELECT * FROM r, u WHERE r.stars > 1 AND AI.IF(PROMPT('{0} by {1}', body, u.name)) AND uid = id",
-    "SELECT r.id FROM r WHERE EXISTS (SELECT 1 FROM u WHERE AI.IF(PROMPT('{0} by {1}', r.body, u.name)) AND u.uid <> r.id)",
-    "SELECT r.id, r.stars FROM r WHERE stars > 0 AND NOT EXISTS (SELECT 1 FROM u WHERE AI.IF(PROMPT('{0} by {1}', r.body, u.name)))",
-    "SELECT a.id, AI.CLASSIFY(PROMPT('{0} or {1}', a.body, b.body), ['x', 'y']) AS c FROM r a JOIN r b ON a.stars < b.stars AND AI.SCORE(PROMPT('{0} to {1}', a.body, b.body)) >= 0.25",
-    "SELECT id FROM r WHERE AI.EXTRACT(body, {'w': 'who'})['w'] LIKE '%o%'",
-    "SELECT uid, COUNT(*) AS n FROM u LEFT JOIN r ON r.id = u.uid AND AI.IF(PROMPT('is {0} good', r.body)) GROUP BY uid HAVING COUNT(*) >= 1",
+    *(f"SELECT r.id, u.name FROM r {how} JOIN u ON r.id = u.uid AND AI.IF(PROMPT('{{0}} by {{1}}', r.note, u.name))" for how in ("LEFT", "RIGHT", "FULL OUTER")),
+    "SELECT r.id FROM r LEFT SEMI JOIN u ON AI.IF(PROMPT('{0} by {1}', r.note, u.name))",
+    "SELECT * FROM r, u WHERE r.stars > 1 AND AI.IF(PROMPT('{0} by {1}', note, u.name)) AND uid = id",
+    "SELECT r.id FROM r WHERE EXISTS (SELECT 1 FROM u WHERE AI.IF(PROMPT('{0} by {1}', r.note, u.name)) AND u.uid <> r.id)",
+    "SELECT r.id, r.stars FROM r WHERE stars > 0 AND NOT EXISTS (SELECT 1 FROM u WHERE AI.IF(PROMPT('{0} by {1}', r.note, u.name)))",
+    "SELECT a.id, AI.CLASSIFY(PROMPT('{0} or {1}', a.note, b.note), ['x', 'y']) AS c FROM r a JOIN r b ON a.stars < b.stars AND AI.SCORE(PROMPT('{0} to {1}', a.note, b.note)) >= 0.25",
+    "SELECT id FROM r WHERE AI.EXTRACT(note, {'w': 'who'})['w'] LIKE '%o%'",
+    "SELECT uid, COUNT(*) AS n FROM u LEFT JOIN r ON r.id = u.uid AND AI.IF(PROMPT('is {0} good', r.note)) GROUP BY uid HAVING COUNT(*) >= 1",
 ]
 
 
@@ -71,7 +71,7 @@ def test_joins_keep_copies_and_unmatched_rows(spark, how, keyed):
     left, right = frame(spark, R), frame(spark, U)
     call, log = ModelCall("if", "{0} by {1}", 2), ops.AskLog()
     on = (lambda a, b: a["id"] == b["uid"]) if keyed else None
-    a, b = (ops.ai_join(left, right, call, "body", "name", m, on, how, log=log) for m in (ExprBackend(), ArrowBackend(ExprBackend().ask)))
+    a, b = (ops.ai_join(left, right, call, "note", "name", m, on, how, log=log) for m in (ExprBackend(), ArrowBackend(ExprBackend().ask)))
     k = sum(map(ord, call.question)) % 7
     weigh = lambda x: ord(x[0]) + len(x) + ord(x[-1]) if x else 0
     rows_l, rows_r = list(zip(*R.values(), strict=True)), list(zip(*U.values(), strict=True))
@@ -92,20 +92,20 @@ def test_joins_keep_copies_and_unmatched_rows(spark, how, keyed):
 def test_fetch_stops_and_is_exact(spark):
     rng = random.Random(4)
     rows = [(i, f"t{rng.randrange(1000)}", i % 3) for i in range(200)]
-    df = spark.createDataFrame(rows, "id long, body string, k long")
+    df = spark.createDataFrame(rows, "id long, note string, k long")
     call = ModelCall("if", "is it so {0}")
-    full = ops.ask(df, call, ["body"], "a", ExprBackend()).where("a").orderBy("id").collect()
+    full = ops.ask(df, call, ["note"], "a", ExprBackend()).where("a").orderBy("id").collect()
     log = ops.AskLog()
-    got = ops.ai_fetch(df, call, ["body"], 4, [F.col("id")], ArrowBackend(ExprBackend().ask), log=log)
+    got = ops.ai_fetch(df, call, ["note"], 4, [F.col("id")], ArrowBackend(ExprBackend().ask), log=log)
     assert sorted(r.id for r in got.collect()) == [r.id for r in full[:4]] and log.total < 100
-    keyed = ops.ai_fetch(df, call, ["body"], 2, [F.col("id")], ArrowBackend(ExprBackend().ask), key=["k"])
+    keyed = ops.ai_fetch(df, call, ["note"], 2, [F.col("id")], ArrowBackend(ExprBackend().ask), key=["k"])
     want = [r.id for k in range(3) for r in [x for x in full if x.k == k][:2]]
     assert sorted(r.id for r in keyed.collect()) == sorted(want)
-    assert ops.ai_fetch(df, call, ["body"], 0, [F.col("id")], ExprBackend()).count() == 0
+    assert ops.ai_fetch(df, call, ["note"], 0, [F.col("id")], ExprBackend()).count() == 0
 
 
 def test_an_answer_is_asked_once_however_often_it_is_read(spark):
     log = ops.AskLog()
-    df = spark.createDataFrame([(i, f"b{i % 3}") for i in range(30)], "id long, body string")
-    out = ops.ask(df, ModelCall("classify", "tone {0}", labels=("a", "b")), ["body"], "c", ArrowBackend(ExprBackend().ask), log=log)
+    df = spark.createDataFrame([(i, f"b{i % 3}") for i in range(30)], "id long, note string")
+    out = ops.ask(df, ModelCall("classify", "tone {0}", labels=("a", "b")), ["note"], "c", ArrowBackend(ExprBackend().ask), log=log)
     assert out.count() == 30 and out.groupBy("c").count().count() <= 2 and log.total == 3

@@ -7,8 +7,8 @@ from inquest.errors import CompileError, RefusalError, SimilarCallWarning
 from inquest.operators.backends import ArrowBackend, ExprBackend, locate, locate_span, match_label
 from inquest.plans.session import AiSession
 
-R = {"id": ["r1", "r2", "r3", "r4", "r5"], "body": ["good one", "bad", "so so", None, ""], "stars": [5, 1, 3, 4, None]}
-U = {"id": ["r1", "r2", "u9"], "name": ["ann", "bob", None]}
+R = {"id": ["k1", "k2", "k3", "k4", "k5"], "note": ["fine thing", "bad", "so so", None, ""], "stars": [5, 1, 3, 4, None]}
+U = {"id": ["k1", "k2", "u9"], "name": ["ann", "bob", None]}
 
 
 @pytest.fixture
@@ -38,43 +38,43 @@ def yes(x, question):
 
 def test_if_in_every_clause(s):
     q = "is {0} good"
-    call = f"AI.IF(PROMPT('{q}', r.body))"
-    want = [i for i, b in zip(R["id"], R["body"], strict=True) if yes(b, q)]
+    call = f"AI.IF(PROMPT('{q}', r.note))"
+    want = [i for i, b in zip(R["id"], R["note"], strict=True) if yes(b, q)]
     assert [r["id"] for r in rows(s, f"SELECT id FROM r WHERE {call} ORDER BY id")] == want
-    not_ = [i for i, b in zip(R["id"], R["body"], strict=True) if yes(b, q) is False]
+    not_ = [i for i, b in zip(R["id"], R["note"], strict=True) if yes(b, q) is False]
     assert [r["id"] for r in rows(s, f"SELECT id FROM r WHERE NOT {call} ORDER BY 1")] == not_
-    assert [r["a"] for r in rows(s, f"SELECT {call} AS a FROM r ORDER BY id")] == [yes(b, q) for b in R["body"]]
+    assert [r["a"] for r in rows(s, f"SELECT {call} AS a FROM r ORDER BY id")] == [yes(b, q) for b in R["note"]]
     assert one(s, f"SELECT COUNT(*) FILTER (WHERE {call}) AS n FROM r") == [len(want)]
     for name in ("AI_IF", "ai.if", "AI_FILTER"):
-        assert len(rows(s, f"SELECT id FROM r WHERE {name}(PROMPT('{q}', body))")) == len(want)
+        assert len(rows(s, f"SELECT id FROM r WHERE {name}(PROMPT('{q}', note))")) == len(want)
 
 
 def test_null_documents(s):
-    assert one(s, "SELECT AI.SCORE(PROMPT('{0}', body)) AS x FROM r WHERE id = 'r4'") == [None]
-    assert rows(s, "SELECT id FROM r WHERE AI.IF(PROMPT('{0} {1}', id, body)) IS NULL") == [{"id": "r4"}]
-    pair = "AI.IF(PROMPT('{0} by {1}', r.body, u.name))"
-    assert {x["id"] for x in rows(s, f"SELECT DISTINCT r.id FROM r, u WHERE {pair}")} <= {"r1", "r2", "r3", "r5"}
+    assert one(s, "SELECT AI.SCORE(PROMPT('{0}', note)) AS x FROM r WHERE id = 'k4'") == [None]
+    assert rows(s, "SELECT id FROM r WHERE AI.IF(PROMPT('{0} {1}', id, note)) IS NULL") == [{"id": "k4"}]
+    pair = "AI.IF(PROMPT('{0} by {1}', r.note, u.name))"
+    assert {x["id"] for x in rows(s, f"SELECT DISTINCT r.id FROM r, u WHERE {pair}")} <= {"k1", "k2", "k3", "k5"}
     # NOT EXISTS reads a null document as the empty text
     text = rows(s, f"SELECT id FROM r WHERE NOT EXISTS (SELECT 1 FROM u WHERE {pair}) ORDER BY id")
     k = sum(map(ord, "{0} by {1}")) % 7
-    want = [i for i, b in zip(R["id"], R["body"], strict=True) if not any((weight(b or "") + weight(n or "") + k) % 3 == 0 for n in U["name"])]
+    want = [i for i, b in zip(R["id"], R["note"], strict=True) if not any((weight(b or "") + weight(n or "") + k) % 3 == 0 for n in U["name"])]
     assert [x["id"] for x in text] == want
 
 
 def test_labels_scores_maps_and_extracts(s):
-    assert {r["c"] for r in rows(s, "SELECT AI.CLASSIFY(body, ['a', 'b']) AS c FROM r")} <= {"a", "b", None}
+    assert {r["c"] for r in rows(s, "SELECT AI.CLASSIFY(note, ['a', 'b']) AS c FROM r")} <= {"a", "b", None}
     s.register_labels("tones", [("a", "it is a"), ("b", "it is b")])
-    assert rows(s, "SELECT AI.CLASSIFY(body, tones) AS c FROM r ORDER BY id") == rows(s, "SELECT AI.CLASSIFY(body, [{'label': 'a', 'description': 'it is a'}, {'label': 'b', 'description': 'it is b'}]) AS c FROM r ORDER BY id")
-    p = rows(s, "SELECT id, AI.CLASSIFY(body, ['a', 'b'], {'probabilities': true}) AS c FROM r ORDER BY id")
+    assert rows(s, "SELECT AI.CLASSIFY(note, tones) AS c FROM r ORDER BY id") == rows(s, "SELECT AI.CLASSIFY(note, [{'label': 'a', 'description': 'it is a'}, {'label': 'b', 'description': 'it is b'}]) AS c FROM r ORDER BY id")
+    p = rows(s, "SELECT id, AI.CLASSIFY(note, ['a', 'b'], {'probabilities': true}) AS c FROM r ORDER BY id")
     assert dict(p[0]["c_probabilities"])[p[0]["c"]] == 1.0 and p[3]["c_probabilities"] is None
-    assert all(r["x"] is None or 0 <= r["x"] <= 1 for r in rows(s, "SELECT AI.SCORE(PROMPT('{0}', body)) AS x FROM r"))
-    got = rows(s, "SELECT body, AI.EXTRACT(body, {'w': 'who'}) AS e, AI.EXTRACT_SPAN(body, {'w': 'who'}) AS p FROM r ORDER BY id")
+    assert all(r["x"] is None or 0 <= r["x"] <= 1 for r in rows(s, "SELECT AI.SCORE(PROMPT('{0}', note)) AS x FROM r"))
+    got = rows(s, "SELECT note, AI.EXTRACT(note, {'w': 'who'}) AS e, AI.EXTRACT_SPAN(note, {'w': 'who'}) AS p FROM r ORDER BY id")
     for r in got:
         if r["e"]["w"] is not None:
-            assert r["body"][r["p"]["w"]["start"] : r["p"]["w"]["end"]] == r["e"]["w"]
+            assert r["note"][r["p"]["w"]["start"] : r["p"]["w"]["end"]] == r["e"]["w"]
         else:
             assert r["p"]["w"] is None
-    assert len(rows(s, "SELECT id, UNNEST(AI.SAE_FEATURES(PROMPT('{0}', body), {'pooling': 'max'}))['strength'] AS f FROM r")) == 12
+    assert len(rows(s, "SELECT id, UNNEST(AI.SAE_FEATURES(PROMPT('{0}', note), {'pooling': 'max'}))['strength'] AS f FROM r")) == 12
 
 
 def test_dialects(s):
@@ -87,11 +87,11 @@ def test_dialects(s):
     assert [r["stars"] for r in rows(s, "SELECT stars FROM r ORDER BY stars DESC")] == [None, 5, 4, 3, 1]
     assert [r["stars"] for r in rows(s, "SELECT stars FROM r ORDER BY stars")] == [1, 3, 4, 5, None]
     assert [r["stars"] for r in rows(s, "SELECT stars FROM r ORDER BY stars DESC NULLS LAST LIMIT 2")] == [5, 4]
-    assert [r["id"] for r in rows(s, "SELECT DISTINCT ON (stars % 2) id, stars FROM r WHERE stars IS NOT NULL ORDER BY stars % 2, stars DESC")] == ["r4", "r1"]
+    assert [r["id"] for r in rows(s, "SELECT DISTINCT ON (stars % 2) id, stars FROM r WHERE stars IS NOT NULL ORDER BY stars % 2, stars DESC")] == ["k4", "k1"]
 
 
 def test_statements(s):
-    s.sql("CREATE TABLE t AS SELECT id, AI.SCORE(PROMPT('{0}', body)) AS x FROM r").collect()
+    s.sql("CREATE TABLE t AS SELECT id, AI.SCORE(PROMPT('{0}', note)) AS x FROM r").collect()
     s.sql("CREATE VIEW v AS SELECT id FROM t WHERE x IS NOT NULL").collect()
     assert len(rows(s, "SELECT * FROM v")) == 4
     s.sql("DROP VIEW v").collect()
@@ -99,36 +99,36 @@ def test_statements(s):
     with pytest.raises(CompileError):
         s.sql("SELECT * FROM v")
     s.sql("PREPARE p AS SELECT id FROM r WHERE stars >= $1 AND id <> $2").collect()
-    assert [r["id"] for r in rows(s, "EXECUTE p(4, 'r1')")] == ["r4"]
-    assert "asks AI.IF" in rows(s, "EXPLAIN SELECT id FROM r WHERE AI.IF(PROMPT('{0}', body))")[0]["plan"]
+    assert [r["id"] for r in rows(s, "EXECUTE p(4, 'k1')")] == ["k4"]
+    assert "asks AI.IF" in rows(s, "EXPLAIN SELECT id FROM r WHERE AI.IF(PROMPT('{0}', note))")[0]["plan"]
     assert rows(s, "VALUES (1)")[0] == {"col1": 1}
 
 
 @pytest.mark.parametrize(
     "sql, said",
     [
-        ("SELECT AI.NOPE(body) FROM r", "unknown function AI.NOPE"),
+        ("SELECT AI.NOPE(note) FROM r", "unknown function AI.NOPE"),
         ("SELECT nofn(id) FROM r", "unknown function nofn"),
         ("SELECT MOD(5, 2)", "a % b"),
         ("SELECT id FROM r WHERE stars", "true or false"),
-        ("SELECT id FROM r WHERE AI.MAP(body, 'x')", "true or false"),
+        ("SELECT id FROM r WHERE AI.MAP(note, 'x')", "true or false"),
         ("SELECT id, COUNT(*) FROM r", "neither grouped"),
-        ("SELECT AI.CLASSIFY(body, ['a', 'A']) FROM r", "letter case"),
-        ("SELECT AI.CLASSIFY(body, ['a']) FROM r", "two labels"),
-        ("SELECT AI.IF(PROMPT('{0} {2}', id, body)) FROM r", "{2}"),
-        ("SELECT AI.IF(PROMPT('{0}', id, body)) FROM r", "{1}"),
-        ("SELECT AI.IF(PROMPT('{0}', body), {'select': 1}) FROM r", "unknown option"),
-        ("SELECT AI.IF(PROMPT('{0}', body), {'selectivity': 'x'}) FROM r", "number"),
-        ("SELECT AI.IF(PROMPT('{0}', r.body), {'anchor': 'u'}) FROM r", "one table"),
-        ("SELECT AI.IF(PROMPT('{0} {1}', r.body, u.name), {'anchor': 'x'}) FROM r, u", "not a table"),
-        ("SELECT AI.EXTRACT(body, {'a': 'x', 'a': 'y'}) FROM r", "twice"),
-        ("SELECT AI.EXTRACT(body, {'a': ' '}) FROM r", "empty"),
-        ("SELECT AI.MAP(body, 'of {0}') FROM r", "{N}"),
-        ("SELECT AI.MAP(body, 'x', 40000) FROM r", "max_tokens"),
+        ("SELECT AI.CLASSIFY(note, ['a', 'A']) FROM r", "letter case"),
+        ("SELECT AI.CLASSIFY(note, ['a']) FROM r", "two labels"),
+        ("SELECT AI.IF(PROMPT('{0} {2}', id, note)) FROM r", "{2}"),
+        ("SELECT AI.IF(PROMPT('{0}', id, note)) FROM r", "{1}"),
+        ("SELECT AI.IF(PROMPT('{0}', note), {'select': 1}) FROM r", "unknown option"),
+        ("SELECT AI.IF(PROMPT('{0}', note), {'selectivity': 'x'}) FROM r", "number"),
+        ("SELECT AI.IF(PROMPT('{0}', r.note), {'anchor': 'u'}) FROM r", "one table"),
+        ("SELECT AI.IF(PROMPT('{0} {1}', r.note, u.name), {'anchor': 'x'}) FROM r, u", "not a table"),
+        ("SELECT AI.EXTRACT(note, {'a': 'x', 'a': 'y'}) FROM r", "twice"),
+        ("SELECT AI.EXTRACT(note, {'a': ' '}) FROM r", "empty"),
+        ("SELECT AI.MAP(note, 'of {0}') FROM r", "{N}"),
+        ("SELECT AI.MAP(note, 'x', 40000) FROM r", "max_tokens"),
         ("SELECT * FROM UNNEST([1])", "refused in FROM"),
-        ("SELECT AI.IF(PROMPT('is it so: {0}', body)), AI.IF(PROMPT('Is it so {0}', body)) FROM r", "write them alike"),
+        ("SELECT AI.IF(PROMPT('is it so: {0}', note)), AI.IF(PROMPT('Is it so {0}', note)) FROM r", "write them alike"),
         ("SELECT (1", "missing"),
-        ("SELECT AI.PDF_PAGES(body, 33) FROM r", "multiple of 32"),
+        ("SELECT AI.PDF_PAGES(note, 33) FROM r", "multiple of 32"),
     ],
 )
 def test_mistakes_are_named_before_anything_runs(s, sql, said):
@@ -139,7 +139,7 @@ def test_mistakes_are_named_before_anything_runs(s, sql, said):
 
 def test_a_likely_slip_is_a_warning(s):
     with pytest.warns(SimilarCallWarning):
-        s.sql("SELECT AI.IF(PROMPT('does it name a city {0}', body)), AI.IF(PROMPT('does it name a citi {0}', body)) FROM r")
+        s.sql("SELECT AI.IF(PROMPT('does it name a city {0}', note)), AI.IF(PROMPT('does it name a citi {0}', note)) FROM r")
 
 
 def test_catalog(spark, tmp_path):
@@ -173,14 +173,14 @@ def test_results(s):
     with pytest.raises(CompileError):
         query.collect(-1)
     assert "not executed" in query.explain() and "5 rows" in query.explain(analyze=True)
-    assert s.estimate_calls("SELECT AI.IF(PROMPT('{0}', body)), AI.IF(PROMPT('{0}', body)) FROM r")[0].kind == "if"
+    assert s.estimate_calls("SELECT AI.IF(PROMPT('{0}', note)), AI.IF(PROMPT('{0}', note)) FROM r")[0].kind == "if"
 
 
 def test_model_that_does_not_answer(spark):
     with AiSession(spark, ArrowBackend(ExprBackend().ask, kinds=("if",))) as s:
         s.register("r", R)
         with pytest.raises(RefusalError):
-            s.sql("SELECT AI.SCORE(PROMPT('{0}', body)) FROM r")
+            s.sql("SELECT AI.SCORE(PROMPT('{0}', note)) FROM r")
 
 
 def test_free_text_answers():

@@ -12,8 +12,8 @@ from inquest.streaming.server import FlightServer, RemoteSession
 from inquest.streaming.streams import ask_each_batch, ask_stream
 from pyspark.sql import functions as F
 
-ROWS = pa.table({"id": ["r1", "r2", "r3"], "body": ["good one", "bad", "so so"]})
-SQL = "SELECT id, AI.SCORE(PROMPT('rate {0}', body)) AS x FROM r ORDER BY id"
+ROWS = pa.table({"id": ["k1", "k2", "k3"], "note": ["fine thing", "bad", "so so"]})
+SQL = "SELECT id, AI.SCORE(PROMPT('rate {0}', note)) AS x FROM r ORDER BY id"
 
 
 def test_flight_server(spark, tmp_path):
@@ -70,15 +70,15 @@ def test_registry(spark, tmp_path, monkeypatch):
 
 
 def test_streams(spark, tmp_path):
-    spark.createDataFrame([(i, f"b{i % 3}") for i in range(12)], "id long, body string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long, body string").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(i, f"b{i % 3}") for i in range(12)], "id long, note string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, note string").parquet(str(tmp_path / "in"))
     call = ModelCall("score", "rate {0}")
-    out = ask_stream(stream, call, ["body"], "x", ExprBackend())
+    out = ask_stream(stream, call, ["note"], "x", ExprBackend())
     out.writeStream.format("parquet").option("path", str(tmp_path / "a")).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination(120)
-    log, want = ops.AskLog(), {(r.id, r.x) for r in ops.ask(spark.read.parquet(str(tmp_path / "in")), call, ["body"], "x", ExprBackend()).select("id", "x").collect()}
+    log, want = ops.AskLog(), {(r.id, r.x) for r in ops.ask(spark.read.parquet(str(tmp_path / "in")), call, ["note"], "x", ExprBackend()).select("id", "x").collect()}
     assert {(r.id, r.x) for r in spark.read.parquet(str(tmp_path / "a")).select("id", "x").collect()} == want
-    writer = ask_each_batch(stream, call, ["body"], "x", ArrowBackend(ExprBackend().ask), lambda df, n: df.write.mode("append").parquet(str(tmp_path / "b")), log)
+    writer = ask_each_batch(stream, call, ["note"], "x", ArrowBackend(ExprBackend().ask), lambda df, n: df.write.mode("append").parquet(str(tmp_path / "b")), log)
     writer.option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(120)
     assert {(r.id, r.x) for r in spark.read.parquet(str(tmp_path / "b")).select("id", "x").collect()} == want and log.total == 3
     with pytest.raises(ValueError):
-        ask_stream(spark.range(1).select(F.lit("a").alias("body")), call, ["body"], "x", ExprBackend())
+        ask_stream(spark.range(1).select(F.lit("a").alias("note")), call, ["note"], "x", ExprBackend())
