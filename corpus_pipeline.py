@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inquest.llm import bpe, langid, line_dedup, mixing, near_dedup
-from inquest.llm.common import free_name, shared_dir
+from inquest.llm.common import shared_dir
 
 #: A document goes if its language can't be told or is less sure than this.
 SURE = 0.4
@@ -20,12 +20,7 @@ SURE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language the model can't tell."""
-    model = langid.fit(docs, ~langid.held_out())
-    (row,) = free_name(docs, "__row")
-    # verdicts come back by id: rows of one id go only if all are rejected
-    said = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
-    good = said.select(F.col("doc_id").alias(row)).distinct()
-    return docs.join(good.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(row)), "left_semi")
+    return langid.recognised(docs, langid.fit(docs, ~langid.held_out()), SURE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,6 +185,19 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows of docs whose language the model tells with a score of at least ``least``; one pass, no shuffle."""
+    ship(docs.sparkSession)
+    sent, place = docs.sparkSession.sparkContext.broadcast(model), [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, place):
+            said = map(sent.value.predict, batch.column(place).to_pylist())
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in said], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """Documents that are never learned from."""
     return F.coalesce(F.pmod(fold_of("doc_id"), F.lit(4)) == 2, F.lit(False))
