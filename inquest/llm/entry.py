@@ -25,4 +25,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE,
+    "op6_mixing": mixing.ORACLE,
 }

@@ -119,3 +119,26 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
 
 def shares(docs: DataFrame) -> DataFrame:
     return mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(text) AS chars,
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':17'), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE AS u FROM documents
+), k AS (
+  SELECT *, -ln(u) / greatest(coalesce(greatest(0.25, exp(-abs(chars / greatest(size, 1)::DOUBLE - 6.0) / 4.0)), 0.0), 0.01) AS key FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM k GROUP BY source
+), r AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (ORDER BY source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s
+), v AS (SELECT min_by(level, cap / w) AS level FROM r WHERE level * w <= cap
+), t AS (SELECT source, source_size, least(cap, w * v.level) AS target FROM r, v
+), e AS (
+  SELECT k.*, t.source_size, t.target, floor(t.target / greatest(t.source_size, 1))::BIGINT AS epochs,
+         sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN size > 0 THEN size * (epochs + (upto - size / 2.0 <= target - epochs * source_size)::BIGINT) ELSE 0 END)::BIGINT AS taken FROM e
+"""
