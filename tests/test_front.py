@@ -90,6 +90,11 @@ def test_dialects(s):
     assert [r["id"] for r in rows(s, "SELECT DISTINCT ON (stars % 2) id, stars FROM r WHERE stars IS NOT NULL ORDER BY stars % 2, stars DESC")] == ["k4", "k1"]
 
 
+def test_several_lists_side_by_side(s):
+    got = rows(s, "SELECT UNNEST([1, 2, 3]) AS a, 'x' AS k, UNNEST([{'f': 4}, {'f': 5}])['f'] AS b ORDER BY a")
+    assert [(r["a"], r["b"], r["k"]) for r in got] == [(1, 4, "x"), (2, 5, "x"), (3, None, "x")]
+
+
 def test_statements(s):
     s.sql("CREATE TABLE t AS SELECT id, AI.SCORE(PROMPT('{0}', note)) AS x FROM r").collect()
     s.sql("CREATE VIEW v AS SELECT id FROM t WHERE x IS NOT NULL").collect()
@@ -124,6 +129,8 @@ def test_statements(s):
         ("SELECT AI.EXTRACT(note, {'a': 'x', 'a': 'y'}) FROM r", "twice"),
         ("SELECT AI.EXTRACT(note, {'a': ' '}) FROM r", "empty"),
         ("SELECT AI.MAP(note, 'of {0}') FROM r", "{N}"),
+        ("SELECT id FROM r WHERE AI.CLASSIFY(note, ['up', 'down']) = 'left'", "up, down"),
+        ("SELECT id FROM r WHERE AI.CLASSIFY(note, ['up', 'down']) IN ('up', 'left')", "not a label"),
         ("SELECT AI.MAP(note, 'x', 40000) FROM r", "max_tokens"),
         ("SELECT * FROM UNNEST([1])", "refused in FROM"),
         ("SELECT AI.IF(PROMPT('is it so: {0}', note)), AI.IF(PROMPT('Is it so {0}', note)) FROM r", "write them alike"),
