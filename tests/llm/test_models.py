@@ -21,7 +21,7 @@ def texts(n=240, seed=1):
 
 
 def test_language_on_held_out_documents(spark):
-    rows = texts() + [(900, None, "aa"), (901, "12 34 !?", "bb"), (902, "", None), (None, "the ing tion", "aa")]
+    rows = texts() + [(900, None, "aa"), (901, "12 ½ ² Ⅷ !?", "bb"), (902, "", None), (None, "the ing tion", "aa")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = {r.doc_id: r for r in langid.predictions(docs).collect()}
     real = {i: lang for i, _, lang in rows if lang and i is not None and i < 900}
