@@ -44,6 +44,7 @@ class AiSession:
         self.prepared: dict[str, tuple[str, str]] = {}
         self._asks: dict[ModelCall, str] = {}
         self.without = tuple(without)
+        self.views: list[str] = []
         workers_import(self.spark)
 
     def __enter__(self) -> AiSession:
@@ -54,6 +55,8 @@ class AiSession:
 
     def close(self) -> None:
         self.catalog.close()
+        while self.views:
+            self.spark.catalog.dropTempView(self.views.pop())
 
     # ---- tables
 
