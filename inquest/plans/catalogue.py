@@ -181,7 +181,7 @@ TEXTS: dict[str, Callable[[Asked], str]] = {
     "ai_join_classify": lambda m: f"SELECT r.r_regionkey, n.n_nationkey, {m.JCL('relation of', 'r.r_name', 'n.n_name', _TONES)} AS relation FROM region r JOIN nation n ON {m.JN('is near', 'r.r_name', 'n.n_name')}",
     "ai_join_score": lambda m: f"SELECT r.r_regionkey, n.n_nationkey FROM region r JOIN nation n ON {m.JSC('closeness of', 'r.r_name', 'n.n_name')} >= 0.75",
     "ai_join_three_way": lambda m: f"SELECT r.r_regionkey, n.n_nationkey, s.s_suppkey FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey JOIN supplier s ON s.s_nationkey = n.n_nationkey WHERE {m.JN3('go together', 'r.r_name', 'n.n_name', 's.s_name')}",
-    "ai_key_join": lambda m: f"SELECT d.doc_id, p.p_partkey FROM documents d JOIN (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'amber' WHEN 1 THEN 'dune' END AS colour FROM part WHERE p_partkey < 40) p ON p.colour = {m.MP('name its colour', 'd.text')} WHERE d.n_chars < 300",
+    "ai_key_join": lambda m: f"SELECT d.doc_id, p.colour, p.parts, p.first_part, p.last_part FROM documents d JOIN (SELECT colour, COUNT(*) AS parts, MIN(p_partkey) AS first_part, MAX(p_partkey) AS last_part FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'amber' WHEN 1 THEN 'dune' END AS colour FROM part) c GROUP BY colour) p ON p.colour = {m.MP('name its colour', 'd.text')}",
     "ai_on_one_table": lambda m: f"SELECT l.doc_id, d.lang FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND {m.IF('is it formal', 'd.text')}",
     "ai_self_join": lambda m: f"SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey AND {m.JN('resembles', 'a.n_name', 'b.n_name')}",
     # subqueries
