@@ -4,8 +4,10 @@ Vectors are scaled to length 1 and cut in halves; each half has a codebook of it
 ``SAMPLE`` vectors), and the product of the two codebooks is a grid of cells. Every vector lies in the cell of
 its nearest codewords. A vector visits cells in the order of the multi-sequence traversal, least summed
 distance first, and is compared with the vectors that lie there in double precision. How many cells are
-visited is measured, not guessed: up to ``PROBES_TRIED`` vectors are compared with all vectors by brute force,
-and the least power of two that finds ``recall`` of their links is taken.
+visited is measured, not guessed: vectors are compared with all vectors by brute force, ``PROBES_TRIED`` at
+first and then more, until ``LINKED`` of them have links, and the least power of two, ``FLOOR`` at least, that
+finds ``recall`` of their links is taken. Where a quarter of the vectors shows too few links, the recall is
+missed, or the cells hold as many vectors as there are, all vectors are compared with all.
 
 Equal vectors collapse to one representative before the search and count with their number after it. Links are
 counted inside blocks of at most ``BLOCK`` times ``BLOCK`` comparisons, never written as pairs: a block returns
@@ -33,7 +35,11 @@ from inquest.llm.components import components
 COSINE, RECALL = 0.9, 0.9999
 SAMPLE = 20_000
 PROBES_TRIED = 1024
+#: Vectors with links that a measured recall rests on, at least; the fewest cells visited; the most probes in a round.
+LINKED, FLOOR, ROUND = 300, 4, 8192
 BLOCK = 256
+#: Vectors on a side of a block where all are compared with all.
+EXACT_BLOCK = 4096
 #: Vectors that a cell holds, about; the codebooks' largest size.
 CELL, MOST_CODES = 16, 1024
 _SPREAD = 17  # probe counts tried: 2**0 .. 2**(_SPREAD - 1)
@@ -114,37 +120,45 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def needed_visits(reps: DataFrame, index: MultiIndex, dim: int, cosine: float, recall: float) -> tuple[int, float]:
-    """The least power of two of cells that finds ``recall`` of the links of some vectors, and the recall."""
+def needed_visits(reps: DataFrame, index: MultiIndex, dim: int, cosine: float, recall: float) -> int | None:
+    """The least power of two of cells that finds ``recall`` of the links of some vectors; None if none does or too few have links."""
     spark = reps.sparkSession
-    share = min(1.0, PROBES_TRIED / max(1, reps.count()))
-    tried = reps.where(F.shiftrightunsigned(F.xxhash64("rep"), 11) < int(share * (1 << 53))).select("rep", "unit").limit(2 * PROBES_TRIED).toArrow()
-    if not tried.num_rows:
-        return 1, 1.0
-    sent = spark.sparkContext.broadcast((tried["rep"].to_numpy(), _matrix(tried["unit"].combine_chunks(), dim), index))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, index = sent.value
-        found = np.zeros(_SPREAD + 1, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
-            q, at = np.nonzero((queries @ x.T >= cosine) & (ids[:, None] != own[None, :]))
-            for part in np.array_split(np.arange(len(q)), 1 + len(q) // 4096):
-                place = index.place(queries[q[part]], index.home(x)[at[part]])
-                np.add.at(found, np.minimum(np.ceil(np.log2(place + 1)).astype(int), _SPREAD), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SPREAD + 1)), pa.array(found)], ["k", "n"])
-
-    counts = {r["k"]: r["n"] for r in reps.select("rep", "unit").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    total, got = sum(counts.values()), 0
+    n = reps.count()
+    hashed = F.shiftrightunsigned(F.xxhash64("rep"), 11)
+    counts, linked, done, probes = np.zeros(_SPREAD + 1, np.int64), 0, 0, PROBES_TRIED
+    while linked < LINKED:
+        if 4 * (done + probes) > n:
+            return None  # comparing all is hardly more work
+        low, high = (int(x / n * (1 << 53)) for x in (done, done + probes))
+        tried = reps.where((hashed >= low) & (hashed < high)).select("rep", "unit").toArrow()
+        done, probes = done + probes, min(2 * probes, ROUND)
+        if not tried.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((tried["rep"].to_numpy(), _matrix(tried["unit"].combine_chunks(), dim), index))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, queries, index = sent.value
+            found = np.zeros((len(ids), _SPREAD + 1), np.int64)
+            for whole in batches:
+                for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                    own, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
+                    q, at = np.nonzero((queries @ x.T >= cosine) & (ids[:, None] != own[None, :]))
+                    home = index.home(x)
+                    for part in np.array_split(np.arange(len(q)), 1 + len(q) // 4096):
+                        place = index.place(queries[q[part]], home[at[part]])
+                        np.add.at(found, (q[part], np.minimum(np.ceil(np.log2(place + 1)).astype(int), _SPREAD)), 1)
+            q, k = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(k), pa.array(found[q, k])], ["q", "k", "n"])
+
+        # the number of links by level beside the probes that have any, which are at most ROUND
+        by = reps.select("rep", "unit").mapInArrow(run, "q bigint, k bigint, n bigint").groupBy("q", "k").agg(F.sum("n").alias("n")).toArrow()
+        np.add.at(counts, by["k"].to_numpy(), by["n"].to_numpy())
+        linked += len(np.unique(by["q"].to_numpy()))
+        sent.unpersist()
     for k in range(_SPREAD):
-        got += counts.get(k, 0)
-        if not total:
-            return 16, 1.0
-        if got >= recall * total:
-            return 1 << k, got / total
-    return 1 << (_SPREAD - 1), got / total
+        if counts[: k + 1].sum() >= recall * counts.sum():
+            return max(FLOOR, 1 << k)
+    return None
 
 
 def _compare(dim: int, cosine: float):
@@ -190,24 +204,29 @@ def search(reps: DataFrame, dim: int, cosine: float, recall: float) -> DataFrame
     if not sample.num_rows:
         sample = reps.select("rep", "unit").orderBy("rep").limit(1).toArrow()
     index = MultiIndex(_matrix(sample["unit"].combine_chunks(), dim), n)
-    cells, _ = needed_visits(reps, index, dim, cosine, recall)
+    cells = needed_visits(reps, index, dim, cosine, recall)
+    exact = cells is None or cells * CELL >= n
+    most = EXACT_BLOCK if exact else BLOCK
     sent = spark.sparkContext.broadcast(index)  # two codebooks of at most MOST_CODES rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 x = _matrix(batch.column(2), dim)
-                home, visits = sent.value.home(x), sent.value.visits(x, cells)
-                # its own cell comes first and counts as visited even if rounding disagrees
-                visits = np.where((visits == home[:, None]).any(1)[:, None], visits, np.c_[home, visits[:, :-1]])
+                if exact:  # one cell, which all visit
+                    home, visits = np.zeros(len(x), np.int64), np.zeros((len(x), 1), np.int64)
+                else:
+                    home, visits = sent.value.home(x), sent.value.visits(x, cells)
+                    # its own cell comes first and counts as visited even if rounding disagrees
+                    visits = np.where((visits == home[:, None]).any(1)[:, None], visits, np.c_[home, visits[:, :-1]])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(list(visits), pa.list_(pa.int64()))], ["rep", "copies", "unit", "home", "visits"])
 
     placed = stored(reps.select("rep", "copies", "unit").mapInArrow(run, "rep bigint, copies bigint, unit binary, home bigint, visits array<bigint>"), "placed")
     base = placed.select(F.lit(0).alias("role"), F.col("home").alias("cell"), "rep", "copies", "unit", "home", "visits")
     queries = placed.select(F.lit(1).alias("role"), F.explode("visits").alias("cell"), "rep", "copies", "unit", "home", F.lit(None).cast("array<bigint>").alias("visits"))
     counts = base.select("cell", F.lit(1).alias("nb"), F.lit(0).alias("nq")).unionByName(queries.select("cell", F.lit(0).alias("nb"), F.lit(1).alias("nq")))
-    crowded = counts.groupBy("cell").agg(F.sum("nb").alias("nb"), F.sum("nq").alias("nq")).where(f"nb > {BLOCK} OR nq > {BLOCK}")
-    crowded = stored(crowded.select("cell", F.ceil(F.col("nb") / BLOCK).alias("kb"), F.ceil(F.col("nq") / BLOCK).alias("kq")), "crowded")
+    crowded = counts.groupBy("cell").agg(F.sum("nb").alias("nb"), F.sum("nq").alias("nq")).where(f"nb > {most} OR nq > {most}")
+    crowded = stored(crowded.select("cell", F.ceil(F.col("nb") / most).alias("kb"), F.ceil(F.col("nq") / most).alias("kq")), "crowded")
     dealt = base.unionByName(queries).join(crowded, "cell", "left").withColumn("kb", F.greatest(F.coalesce("kb", F.lit(1)), F.lit(1))).withColumn("kq", F.greatest(F.coalesce("kq", F.lit(1)), F.lit(1)))
     own, many = F.xxhash64("rep"), lambda k: F.sequence(F.lit(0).cast("bigint"), F.col(k) - 1)
     dealt = dealt.withColumn("pieces", F.when(F.col("role") == 0, F.transform(many("kq"), lambda c: F.struct(F.pmod(own, F.col("kb")).alias("block"), c.alias("chunk")))).otherwise(F.transform(many("kb"), lambda b: F.struct(b.alias("block"), F.pmod(own, F.col("kq")).alias("chunk")))))

@@ -65,3 +65,35 @@ def test_traversal_visits_nearest_cells_first():
         got = np.take_along_axis(total, index.visits(x[:20], cells), 1)
         assert np.allclose(got, np.sort(total, 1)[:, :cells])
     assert (index.place(x[:20], index.home(x[:20])) == 0).all()
+
+
+def test_rare_links_are_all_found(spark, monkeypatch):
+    # as few links and as many cells as a large table has for 1,024 vectors
+    monkeypatch.setattr(vd, "PROBES_TRIED", 8)
+    monkeypatch.setattr(vd, "CELL", 1)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(80):  # pairs at cosines of 0.9 to 0.95
+        side = rng.normal(size=32)
+        side -= (side @ x[i]) * x[i]
+        c = 0.9005 + 0.05 * i / 80
+        x[1000 + i] = c * x[i] + (1 - c * c) ** 0.5 * side / np.linalg.norm(side)
+    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vd.membership(table(spark, rows)).collect()}
+    want = brute(rows)
+    assert sum(n for n, *_ in want.values()) >= 160
+    assert got == want
+
+
+def test_cells_rest_on_enough_links(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(vd, "needed_visits", lambda *a, f=vd.needed_visits: asked.append(f(*a)) or asked[-1])
+    rows = make(1500, dim=16)
+    want = brute(rows)
+    for probes, linked in ((1024, 300), (16, 100)):  # too few vectors to measure with; several rounds
+        monkeypatch.setattr(vd, "PROBES_TRIED", probes)
+        monkeypatch.setattr(vd, "LINKED", linked)
+        got = {r.vec_id: r.n_links for r in vd.membership(table(spark, rows)).collect()}
+        assert sum(got.values()) >= 0.99 * sum(x[0] for x in want.values())
+    assert asked[0] is None and asked[1] >= vd.FLOOR
