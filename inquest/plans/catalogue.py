@@ -133,7 +133,7 @@ TEXTS: dict[str, Callable[[Asked], str]] = {
     "ai_if_hint": lambda m: f"SELECT doc_id FROM documents WHERE {m.pick('HINT(', '(')}{m.IF('is it a list', 'text')}{m.pick(', {' + chr(39) + 'selectivity' + chr(39) + ': 0.3})', ')')}",
     "ai_if_is_null": lambda m: f"SELECT c.c_custkey FROM customer c LEFT JOIN labels l ON l.doc_id = c.c_custkey LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE {m.IF('is it formal', 'd.text')} IS NULL",
     "ai_prompt_multi_column": lambda m: f"SELECT doc_id FROM documents WHERE {m.pick('AI.IF(PROMPT(' + chr(39) + 'do {0} and {1} agree' + chr(39) + ', lang, text))', _twin_multi('lang', 'text', 'do DOCUMENT 0 and DOCUMENT 1 agree'))}",
-    "ai_prompt_expression": lambda m: f"SELECT doc_id FROM documents WHERE {m.IF('is it shouted', 'LOWER(TRIM(LEFT(text, 40)))')}",
+    "ai_prompt_expression": lambda m: f"SELECT doc_id FROM documents WHERE {m.IF('is it shouted', 'LOWER(TRIM(text))')}",
     # scores
     "ai_score_select": lambda m: f"SELECT doc_id, {m.SC('how clear is', 'text')} AS score FROM documents",
     "ai_score_where": lambda m: f"SELECT doc_id FROM documents WHERE {m.SC('how clear is', 'text')} >= 0.75",

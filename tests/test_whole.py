@@ -22,3 +22,12 @@ def test_key_join_takes_all_documents_and_all_parts(spark, tmp_path):
     assert any(i >= 18 for i, *_ in want)  # documents of 300 characters and more
     got = catalogue.QUERIES["ai_key_join"](spark, str(tmp_path)).select("doc_id", "colour", "parts", "first_part", "last_part").collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_prompt_expression_asks_about_the_whole_text(spark, tmp_path):
+    rows = [(i, " " + "Q" * (30 + i) + "abcdefg"[i % 7] + " ") for i in range(60)] + [(99, None)]
+    texts(spark, tmp_path, rows)
+    k = key_of("is it shouted {0}")
+    want = {i for i, t in rows if t is not None and (words_weight(t.strip(" ").lower()) + k) % (k + 2) == 0}
+    assert 0 < len(want) < 60
+    assert {r.doc_id for r in catalogue.QUERIES["ai_prompt_expression"](spark, str(tmp_path)).collect()} == want
