@@ -156,7 +156,7 @@ TEXTS: dict[str, Callable[[Asked], str]] = {
     "ai_extract_field": lambda m: f"SELECT doc_id, {m.EX(_FIELDS, 'text', 'who')} AS who, {m.EX(_FIELDS, 'text', 'when')} AS happened FROM documents",
     "ai_extract_span": lambda m: f"SELECT doc_id, {m.SPAN('what is it about', 'text', 'start')} AS s, {m.SPAN('what is it about', 'text', 'end')} AS e FROM documents",
     "ai_extract_like": lambda m: f"SELECT doc_id FROM documents WHERE {m.EX(_FIELDS, 'text', 'what')} LIKE '%on%'",
-    "ai_extract_null": lambda m: f"SELECT doc_id FROM documents WHERE {m.EX(_FIELDS, 'LEFT(text, 6)', 'what')} IS NULL",
+    "ai_extract_null": lambda m: f"SELECT doc_id FROM documents WHERE {m.EX(_FIELDS, 'text', 'what')} IS NULL",
     "ai_extract_topk": lambda m: f"SELECT doc_id, {m.EX(_FIELDS, 'text', 'who')} AS who FROM documents ORDER BY doc_id DESC LIMIT 15",
     # mapping and features
     "ai_map_select": lambda m: f"SELECT doc_id, {m.MP('name its colour', 'text')} AS colour FROM documents",

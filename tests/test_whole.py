@@ -31,3 +31,12 @@ def test_prompt_expression_asks_about_the_whole_text(spark, tmp_path):
     want = {i for i, t in rows if t is not None and (words_weight(t.strip(" ").lower()) + k) % (k + 2) == 0}
     assert 0 < len(want) < 60
     assert {r.doc_id for r in catalogue.QUERIES["ai_prompt_expression"](spark, str(tmp_path)).collect()} == want
+
+
+def test_extract_null_reads_the_whole_text(spark, tmp_path):
+    rows = [(i, " ".join(["longish"] * (1 + i % 4)) + "x" * (i // 4)) for i in range(40)] + [(98, ""), (99, None)]
+    texts(spark, tmp_path, rows)
+    k = key_of("what is it about")
+    want = {i for i, t in rows if not t or (words_weight(t) + k) % 3 >= len(t.split(" "))}
+    assert {98, 99} < want and len(want) < 40
+    assert {r.doc_id for r in catalogue.QUERIES["ai_extract_null"](spark, str(tmp_path)).collect()} == want
