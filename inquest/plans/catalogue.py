@@ -217,7 +217,7 @@ TEXTS: dict[str, Callable[[Asked], str]] = {
     "json_fields": lambda m: f"SELECT event_id, {m.pick('json_get_int(props, ' + chr(39) + 'k' + chr(39) + ')', '(props::JSON ->> ' + chr(39) + 'k' + chr(39) + ')::BIGINT')} AS k, props ->> 'k' AS t, props ->> 'none' AS missing FROM events",
     "int_division": lambda m: f"SELECT p_partkey, CAST({m.pick('p_size / 4', 'p_size // 4')} AS BIGINT) AS quarter, p_size % 4 AS rest, p_retailprice / 4 AS price FROM part",
     "concat_skip_null": lambda m: "SELECT s_suppkey, CONCAT(s_name, NULL, '/', CAST(s_nationkey AS STRING)) AS label, STRPOS(s_name, '#') AS at, SPLIT_PART(s_name, '#', 2) AS number FROM supplier",
-    "null_order": lambda m: "SELECT doc_id, place FROM (SELECT d.doc_id, ROW_NUMBER() OVER (ORDER BY l.toxic DESC, d.doc_id) AS place FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) t WHERE place <= 50" if not isinstance(m, Twin) else "SELECT doc_id, place FROM (SELECT d.doc_id, ROW_NUMBER() OVER (ORDER BY l.toxic DESC NULLS FIRST, d.doc_id) AS place FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) t WHERE place <= 50",
+    "null_order": lambda m: "SELECT doc_id, place FROM (SELECT d.doc_id, ROW_NUMBER() OVER (ORDER BY l.toxic DESC, d.doc_id) AS place FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) t" if not isinstance(m, Twin) else "SELECT doc_id, place FROM (SELECT d.doc_id, ROW_NUMBER() OVER (ORDER BY l.toxic DESC NULLS FIRST, d.doc_id) AS place FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) t",
     "string_functions": lambda m: "SELECT c_custkey, UPPER(c_mktsegment) AS u, REVERSE(c_name) AS r, LENGTH(c_name) AS n, LEFT(c_name, 3) AS l, RIGHT(c_name, 2) AS e, SUBSTRING(c_name, 2, 4) AS s, NULLIF(c_mktsegment, 'BUILDING') AS x, GREATEST(c_nationkey, 10) AS g, ABS(c_acctbal) AS a FROM customer",
     # relational parity
     "plain_join_agg": lambda m: "SELECT c.c_mktsegment, COUNT(*) AS n, ROUND(SUM(l.l_quantity), 2) AS qty FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey WHERE l.l_returnflag = 'R' GROUP BY c.c_mktsegment",

@@ -40,3 +40,12 @@ def test_extract_null_reads_the_whole_text(spark, tmp_path):
     want = {i for i, t in rows if not t or (words_weight(t) + k) % 3 >= len(t.split(" "))}
     assert {98, 99} < want and len(want) < 40
     assert {r.doc_id for r in catalogue.QUERIES["ai_extract_null"](spark, str(tmp_path)).collect()} == want
+
+
+def test_null_order_places_all_documents(spark, tmp_path):
+    texts(spark, tmp_path, [(i, "a") for i in range(200)])
+    toxic = {i: i % 2 for i in range(0, 200, 3)}
+    table(spark, tmp_path, "labels", list(toxic.items()), "doc_id long, toxic int")
+    order = sorted(range(200), key=lambda i: (-toxic.get(i, 2), i))  # no label comes before 1 and 0
+    got = {r.doc_id: r.place for r in catalogue.QUERIES["null_order"](spark, str(tmp_path)).collect()}
+    assert got == {i: n for n, i in enumerate(order, 1)}
