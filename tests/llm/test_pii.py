@@ -81,3 +81,11 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = pii.report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_ibans_before_a_capital_word(spark):
+    for text in ("BE68 5390 0754 7034 BIC", "AT611904300234573201 BIC", "BE68 5390 0754 7034 EURO"):
+        assert [m.group() for m in re.finditer(pii.PATTERN, text)] == [text.rpartition(" ")[0]]
+    out = run(spark, "to BE68 5390 0754 7034 BIC", "to AT611904300234573201 BIC")
+    assert "5390 0754" not in out[0].text and out[0].text.endswith(" BIC")
+    assert "1904300234573201" not in out[1].text and out[1].text.endswith(" BIC")
