@@ -169,13 +169,11 @@ def _blocks(similarity: float):
         x, y = few["id"].to_numpy(), all_["id"].to_numpy()
         bags_x, bags_y = ([np.frombuffer(b, np.uint64) for b in t["bag"].to_pylist()] for t in (few, all_))
         both = shared_counts(bags_x, bags_y)
-        n_x, n_y = (np.array([len(b) for b in bags], np.float32) for bags in (bags_x, bags_y))
-        # counts are whole numbers, so this is the quotient's comparison without its rounding
-        good = both * (1 + similarity) >= similarity * (n_x[:, None] + n_y[None, :]) - 1e-3
+        n_x, n_y = (np.array([len(b) for b in bags], np.float64) for bags in (bags_x, bags_y))
+        # counts are whole numbers, and a quotient of doubles reaches the threshold only where the fraction does
+        good = both / np.maximum(n_x[:, None] + n_y[None, :] - both, 1) >= similarity
         good &= few["c"].to_numpy()[:, None] != all_["c"].to_numpy()[None, :]
         u, v = np.nonzero(good)
-        sure = [k for k in range(len(u)) if overlap(bags_x[u[k]], bags_y[v[k]]) >= similarity] if len(u) < 4096 else range(len(u))
-        u, v = u[list(sure)], v[list(sure)]
         names, local = np.unique(np.concatenate([x[u], y[v]]), return_inverse=True)
         a, b = forest(local[: len(u)], local[len(u) :], len(names))
         return pa.table({"a": names[a], "b": names[b]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from inquest.llm import near_dedup as nd
 from inquest.llm.components import components
@@ -97,3 +98,11 @@ def test_components_of_chains_stars_and_random_graphs(spark):
         want = union_find(edges, {x for e in edges for x in e if e[0] != e[1]} | {x for e in edges for x in e})
         got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == {n: want[n] for n in {x for e in edges for x in e if e[0] != e[1]}}
+
+
+def test_ties_between_very_long_documents():
+    all_ = np.arange(100_000, dtype=np.uint64)
+    for n in range(4_500, 20_000, 311):  # 5 n and 4 n shingles are at exactly 0.8, one less below it
+        for short, links in ((4 * n, 1), (4 * n - 1, 0)):
+            block = pa.table({"role": [0, 1], "id": [1, 2], "c": [1, 2], "bag": [all_[: 5 * n].tobytes(), all_[:short].tobytes()]})
+            assert nd._blocks(0.8)(block).num_rows == links
