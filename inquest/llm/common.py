@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,12 +39,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a folder is made and set as checkpoint folder.
+    Where the setting is absent a local folder is made and set as checkpoint folder, on one machine only.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="inquest-"))
         root = context._jsc.sc().getCheckpointDir().get()
     return f"{root.rstrip('/')}/inquest-{spark.sparkContext.applicationId}"
@@ -57,9 +60,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame | None) -> None:
-    """Delete a table that :func:`stored` made, once nothing reads it any more."""
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()} if df is not None else ():
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` made, once nothing reads them any more."""
+    for file in {f.rpartition("/")[0] for df in tables for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -31,8 +31,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         small = stored(small.where("u <> v").distinct(), name)
         state = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        dropped(spark, links)
-        dropped(spark, large)
+        dropped(spark, links, large)
         links = small
         if state == before:
             break

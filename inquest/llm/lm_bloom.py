@@ -7,9 +7,10 @@ probe fails. Absence is never wrong, and an n-gram never counts as rarer than it
 
 N-grams are counted in shards of the hash space: each task sums what it has seen and sends sorted blocks, so a
 frequent word is a few numbers a task. A shard's filter and its exact word counts (for the base score) are
-built where the shard lies. Shards are broadcast to the workers in groups of at most ``broadcast_bytes``: one
-group, one pass over the texts; a larger corpus takes a pass for each group and adds up what each pass learns
-(token levels, partial sums), with the same result as one large filter.
+built where the shard lies. While all shards together have at most ``broadcast_bytes`` they are broadcast, and
+workers map the broadcast's file, whose pages the workers of a host share. A corpus whose filters are larger
+is not read once for each part of them: the different n-grams of each block of texts travel to the shards
+instead, are probed there, and their levels travel back. Both ways are one pass with the same result.
 
 A token's probability depends on three levels only (bigram, context, word). Their joint counts over all training
 tokens are a small table, from which expectation-maximisation fits the interpolation weights, leaving each
@@ -17,11 +18,14 @@ token's own count out.
 
 Cases: null and empty texts are one end token; a row without doc_id is learned from; repeated rows count each;
 without training documents every token is unknown; a table without rows gives a table without rows; other
-columns are ignored.
+columns are ignored, whatever their names; doc_id may have any type. Texts are read whole: a very long one makes
+a block of its own.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inquest.llm.common import WordHashes, fold_of, mix64, ship, slices, stored
+from inquest.llm.common import WordHashes, dropped, fold_of, mix64, ship, slices, stored
 
 HASHES, BITS = 5, 8
-#: N-grams that a counting task holds before it sends them.
-HELD = 1_500_000
+#: N-grams that a counting task holds before it sends them; bytes of text that a shard is made for; of a block.
+HELD, SHARD_BYTES, BLOCK_BYTES = 1_000_000, 64 << 20, 2_500_000
 _ONE, _GOLD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,10 +132,6 @@ def _packed(counts: np.ndarray) -> bytes:
     return counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64).tobytes()
 
 
-def _unpacked(words: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(words, np.uint64), np.frombuffer(counts, np.uint32 if len(counts) * 2 == len(words) else np.int64)
-
-
 class LogBloom:
     """Levels of hashes in one bit array."""
 
@@ -141,55 +141,65 @@ class LogBloom:
     @classmethod
     def holding(cls, h: np.ndarray, level: np.ndarray, bits_each: int = BITS) -> LogBloom:
         size = max(64, int(level.sum()) * bits_each + 7 >> 3)
-        if size >= 1 << 29:
-            raise ValueError("a shard is too large; raise the number of shuffle partitions")
         made = cls(np.zeros(size, np.uint8))
         for j in range(1, int(level.max(initial=0)) + 1):
             a = cls._mixed(h[level >= j], j)
             for k in range(HASHES):
-                at = made._place(a, k)
+                at = _place(a, k, made.bits.size * 8)
                 np.bitwise_or.at(made.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         return made
 
-    def _place(self, a: np.ndarray, k: int) -> np.ndarray:
-        """The k-th bit of hashes that a level has mixed: shards have fewer than 2**32 bits."""
-        step = (a >> np.uint64(32)) | _ONE
-        return ((a + np.uint64(k) * step & np.uint64(0xFFFFFFFF)) * np.uint64(len(self.bits) * 8) >> np.uint64(32)).astype(np.int64)
-
     @staticmethod
     def _mixed(h: np.ndarray, level: int) -> np.ndarray:
         return mix64(h + np.uint64(level * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Probe level after level until one is missing."""
-        out, at, level = np.zeros(len(h), np.uint8), np.arange(len(h)), 0
-        while len(at) and level < N_LEVELS - 1:
-            level += 1
-            a = self._mixed(h[at], level)
-            for k in range(HASHES):  # the first bit that is missing decides
-                p = self._place(a, k)
-                there = (self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-                at, a = at[there], a[there]
-            out[at] = level
-        return out
-
-
-def _building(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: dict[int, list] = defaultdict(list)
-    for batch in batches:
-        for s, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            parts[s].append((np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64)))
-    hashed = _Hasher()
-    for s in sorted(parts):
-        h, n = summed(parts.pop(s))
-        level = np.searchsorted(LEVELS, n, "right") - 1
-        words = (h & _ONE == 0) & (h != hashed.start)
-        one, two = int((n[words] == 1).sum()), int((n[words] == 2).sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([s]), pa.array([LogBloom.holding(h, level).bits.tobytes()], pa.binary()), pa.array([h[words].tobytes()], pa.binary()), pa.array([_packed(n[words])], pa.binary())]
-            + [pa.array([v]) for v in (int(n[words].sum()), int(words.sum()), one, two, float(VALUE[level[words]].sum()))],
-            ["shard", "bits", "words", "counts", "total", "kinds", "once", "twice", "read"],
-        )
+        return _levels(self.bits, h, np.arange(len(h)), None, self.bits.size * 8)
+
+
+def _place(a: np.ndarray, k: int, size: int | np.ndarray) -> np.ndarray:
+    """The k-th bit, of so many, of hashes that a level has mixed."""
+    step = (a >> np.uint64(32)) | _ONE
+    if isinstance(size, int) and size >= 1 << 32:  # 32 bits don't reach all places
+        return (mix64(a + np.uint64(k) * step) % np.uint64(size)).astype(np.int64)
+    return ((a + np.uint64(k) * step & np.uint64(0xFFFFFFFF)) * np.asarray(size, np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def _levels(bits: np.ndarray, h: np.ndarray, at: np.ndarray, start: np.ndarray | None, size: int | np.ndarray) -> np.ndarray:
+    """Levels of hashes, those at ``at``; with ``start``, each in its filter of ``size`` bits from there."""
+    out, level = np.zeros(len(h), np.uint8), 0
+    while len(at) and level < N_LEVELS - 1:
+        level += 1
+        a = LogBloom._mixed(h[at], level)
+        for k in range(HASHES):  # the first bit that is missing decides
+            p = _place(a, k, size if start is None else size[at])
+            byte = p >> 3 if start is None else (p >> 3) + start[at]
+            there = (bits[byte] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+            at, a = at[there], a[there]
+        out[at] = level
+    return out
+
+
+def _building(bits_each: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = defaultdict(list)
+        for batch in batches:
+            for s, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts[s].append((np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32)))
+        hashed = _Hasher()
+        for s in sorted(parts):
+            h, n = summed([(h, n.astype(np.int64)) for h, n in parts.pop(s)])
+            level = np.searchsorted(LEVELS, n, "right") - 1
+            words = (h & _ONE == 0) & (h != hashed.start)
+            one, two = int((n[words] == 1).sum()), int((n[words] == 2).sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s]), pa.array([LogBloom.holding(h, level, bits_each).bits.tobytes()], pa.binary()), pa.array([h[words].tobytes()], pa.binary()), pa.array([_packed(n[words])], pa.binary())]
+                + [pa.array([v]) for v in (int(n[words].sum()), int(words.sum()), one, two, float(VALUE[level[words]].sum()))],
+                ["shard", "bits", "words", "counts", "total", "kinds", "once", "twice", "read"],
+            )
+
+    return run
 
 
 @dataclass
@@ -206,65 +216,166 @@ class Corpus:
     read: float
 
 
-def learn(docs: DataFrame) -> Corpus:
+def learn(docs: DataFrame, bits_each: int = BITS) -> Corpus:
     """Count the n-grams of all texts of docs."""
     spark = docs.sparkSession
     ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     blocks = docs.select("text").mapInArrow(_counting(n), "shard bigint, hashes binary, counts binary").repartitionById(n, F.col("shard").cast("int"))
-    made = stored(blocks.mapInArrow(_building, "shard bigint, bits binary, words binary, counts binary, total bigint, kinds bigint, once bigint, twice bigint, read double"), "ngrams")
+    made = stored(blocks.mapInArrow(_building(bits_each), "shard bigint, bits binary, words binary, counts binary, total bigint, kinds bigint, once bigint, twice bigint, read double"), "ngrams")
     sums = made.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "kinds", "once", "twice", "read"))).first()
     return Corpus(made, n, *sums)
 
 
-def _groups(corpus: Corpus, broadcast_bytes: int) -> list[list[int]]:
-    """Shards whose filters and counts fit in one broadcast together; a shard is sized by learn()."""
-    sizes = corpus.shards.select("shard", (F.length("bits") + F.length("words") + F.length("counts")).alias("size")).orderBy("shard")
-    out, size = [[]], 0
-    for r in sizes.toLocalIterator():  # one number for each shard
-        if out[-1] and size + r["size"] > broadcast_bytes:
-            out.append([])
-            size = 0
-        out[-1].append(r["shard"])
-        size += r["size"]
-    return out
-
-
-def _probing(sent, n_shards: int, total: int, kinds: int):
-    """Add to each document what the shards of one group know."""
-    floor = total + 0.1 * (kinds + 1)
+class Shipped:
+    """Filters and word counts of all shards in one broadcast. A worker maps the file that Spark has put the
+    broadcast in, so the workers of a host share its pages; where there is no plain file (encryption) it reads
+    the value."""
+
+    MARK = uuid.UUID(int=0x8A5C_1D2E_7F40_4B6B_9E13_C2D1_55AA_0F37).bytes
+    PARTS = ("bits", "words", "counts")
+
+    def __init__(self, spark, rows: Iterator, n_shards: int) -> None:
+        # what comes before the bytes in a pickle, so that numbers lie at multiples of eight in the file
+        held = bytearray(self.MARK) + bytes(-pickle.dumps(bytearray(b"x" * (1 << 17)), pickle.HIGHEST_PROTOCOL).find(b"x" * 64) % 8)
+        self.at = np.zeros((n_shards, len(self.PARTS), 2), np.int64)
+        for r in rows:
+            for k, part in enumerate(self.PARTS):
+                self.at[r["shard"], k] = len(held), len(held) + len(r[part])
+                held += r[part]
+                held += bytes(-len(r[part]) % 8)
+        self.size = len(held)
+        self.sent = spark.sparkContext.broadcast(held)
+
+    def open(self) -> np.ndarray:
+        path = getattr(self.sent, "_path", None)
+        if path and self.size > 1 << 16:
+            with open(path, "rb") as f:
+                start = f.read(1 << 12).find(self.MARK)
+            if start >= 0:
+                return np.memmap(path, np.uint8, "r", start, self.size)
+        return np.frombuffer(self.sent.value, np.uint8)
+
+    def looked_up(self, whole: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of hashes and, for words, exact counts."""
+        n_shards = len(self.at)
+        order, bounds = _shard_of(kinds, n_shards)
+        h, shard = kinds[order], np.repeat(np.arange(n_shards), np.diff(bounds))
+        start, stop = self.at[shard, 0].T
+        level, count = np.zeros(len(kinds), np.uint8), np.zeros(len(kinds), np.int64)
+        # one shard after another, so its filter stays near
+        level[order] = _levels(whole, h, np.flatnonzero(stop > start), start, (stop - start).astype(np.uint64) * np.uint64(8))
+        for s, (_, words, counts) in enumerate(self.at):
+            mine = order[bounds[s] : bounds[s + 1]]
+            mine = mine[kinds[mine] & _ONE == 0]
+            count[mine] = _counted(whole[slice(*words)], whole[slice(*counts)], kinds[mine])
+        return level, count
+
+
+def _shard_of(kinds: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in order of their shards, and where each shard begins."""
+    shard = (kinds >> np.uint64(33)) % np.uint64(n_shards)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(n_shards + 1))
+
+
+def _counted(words: np.ndarray, counts: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Exact counts of a shard's words."""
+    words = words.view(np.uint64)
+    if not len(words):
+        return np.zeros(len(h), np.int64)
+    counts = counts.view(np.uint32 if len(counts) < len(words) * 8 else np.int64)
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return np.where(words[at] == h, counts[at].astype(np.int64), 0)
+
+
+#: What scoring keeps of a document: its row, base score, known tokens, and its tokens' word and bigram levels.
+_KEPT = ["row", "base", "known", "words", "bigrams"]
+
+
+def _scored(rows: pa.Array, sizes: np.ndarray, u: np.ndarray, b: np.ndarray, level: np.ndarray, count: np.ndarray, floor: float) -> pa.RecordBatch:
+    """_KEPT from a block's levels and counts; u and b say which of them each token has."""
+    ends = np.cumsum(sizes)
+    base, known = np.log10((count + 0.1) / floor)[u], (count > 0)[u]
+    lu, lb = level[u], level[b]
+    spans = list(zip(ends - sizes, ends, strict=True))
+    arrays = [pa.array(np.add.reduceat(base, ends - sizes)), pa.array(np.add.reduceat(known.astype(np.int64), ends - sizes))]
+    return pa.RecordBatch.from_arrays([rows, *arrays, *(pa.array([x[a:e].tobytes() for a, e in spans], pa.binary()) for x in (lu, lb))], _KEPT)
+
+
+def _probing(shards: Shipped, floor: float):
+    """_KEPT of each document, from shards that every worker holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {s: (LogBloom(np.frombuffer(b, np.uint8)), *_unpacked(w, n)) for s, (b, w, n) in sent.value.items()}
-        hashed = _Hasher()
-        for batch in slices(batches, "text"):
+        whole, hashed = np.asarray(shards.open()), _Hasher()
+        for batch in slices(batches, "text", BLOCK_BYTES):
             uni, bi, sizes = hashed(batch.column(1).to_pylist())
-            ends = np.cumsum(sizes)
-            kinds_, back = np.unique(np.concatenate([uni, bi]), return_inverse=True)
-            level, count, known = np.zeros(len(kinds_), np.uint8), np.zeros(len(kinds_), np.int64), np.zeros(len(kinds_), bool)
-            shard = (kinds_ >> np.uint64(33)) % np.uint64(n_shards)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(n_shards + 1))
-            for s, (bloom, words, counts) in held.items():
-                mine = order[bounds[s] : bounds[s + 1]]
-                level[mine], known[mine] = bloom.levels(kinds_[mine]), True
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, kinds_[mine]), len(words) - 1)
-                    count[mine] = np.where(words[at] == kinds_[mine], counts[at], 0)
-            u, b = back[: len(uni)], back[len(uni) :]
-            base = np.where(known[u], np.log10((count[u] + 0.1) / floor), 0.0)
-            base = np.add.reduceat(base, ends - sizes) + np.array(batch.column(2).to_pylist())
-            n_known = np.add.reduceat((count[u] > 0).astype(np.int64), ends - sizes) + np.array(batch.column(3).to_pylist())
-            lu, lb = level[u], level[b]
-            old = [(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            out_u = [lu[e - n : e] if o is None else np.maximum(lu[e - n : e], np.frombuffer(o, np.uint8)) for e, n, (o, _) in zip(ends, sizes, old, strict=True)]
-            out_b = [lb[e - n : e] if o is None else np.maximum(lb[e - n : e], np.frombuffer(o, np.uint8)) for e, n, (_, o) in zip(ends, sizes, old, strict=True)]
-            arrays = [batch.column(0), batch.column(1), pa.array(base), pa.array(n_known), pa.array([x.tobytes() for x in out_u], pa.binary()), pa.array([x.tobytes() for x in out_b], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "text", "base", "known", "words", "bigrams"])
+            kinds, back = np.unique(np.concatenate([uni, bi]), return_inverse=True)
+            yield _scored(batch.column(0), sizes, back[: len(uni)], back[len(uni) :], *shards.looked_up(whole, kinds), floor)
 
     return run
 
 
+def _routed(rows: DataFrame, corpus: Corpus, row_type: str, kind: str, floor: float) -> DataFrame:
+    """_KEPT of each document, from shards that stay where they are: what each block asks of a shard, and the
+    block's documents, are written once; requests meet their shard, answers their block."""
+    n = corpus.n_shards
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _Hasher()
+        for batch in slices(batches, "text", BLOCK_BYTES):
+            uni, bi, sizes = hashed(batch.column(1).to_pylist())
+            kinds, back = np.unique(np.concatenate([uni, bi]), return_inverse=True)
+            order, bounds = _shard_of(kinds, n)
+            used = np.flatnonzero(np.diff(bounds))
+            name = uuid.uuid4().hex  # written before it is read, so it doesn't change
+            kinds = kinds[order]
+            texts = pickle.dumps((sizes, order.astype(np.int32), back.astype(np.int32), kinds & _ONE == 0))
+            data = pa.array([texts, *(kinds[bounds[s] : bounds[s + 1]].tobytes() for s in used)], pa.binary())
+            documents = pa.ListArray.from_arrays(pa.array([0] + [batch.num_rows] * (len(used) + 1), pa.int32()), batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(used) + 1)), pa.array([-1, *used.tolist()]), data, documents], ["block", "shard", "data", "rows"])
+
+    blocks = stored(rows.mapInArrow(asked, f"block string, shard bigint, data binary, rows array<{row_type}>"), "blocks")
+    none = F.lit(None).cast("binary")
+    requests = blocks.where("shard >= 0").select("shard", "block", "data", none.alias("words"), none.alias("counts"))
+    filters = corpus.shards.select("shard", F.lit(None).cast("string").alias("block"), F.col("bits").alias("data"), "words", "counts")
+    # a shard's filter comes before what is asked of it
+    met = requests.unionByName(filters).repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("block").asc_nulls_first())
+
+    def answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = -1, None
+        for batch in batches:
+            out = []
+            for s, block, data, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = np.frombuffer(data, np.uint8)
+                if block is None:
+                    now, parts = s, (LogBloom(data), np.frombuffer(words, np.uint8), np.frombuffer(counts, np.uint8))
+                    continue
+                h = data.view(np.uint64)
+                word = h[h & _ONE == 0]
+                level, count = (parts[0].levels(h), _counted(*parts[1:], word)) if s == now else (np.zeros(len(h), np.uint8), np.zeros(len(word), np.int64))
+                out.append((block, s, level.tobytes(), count.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["block", "shard", "data", "counts"])
+
+    answers = met.mapInArrow(answering, "block string, shard bigint, data binary, counts binary")
+    both = answers.withColumn("rows", F.lit(None).cast(blocks.schema["rows"].dataType)).unionByName(blocks.where("shard < 0").withColumn("counts", none))
+
+    def gathered(table: pa.Table) -> pa.Table:
+        """One block: its documents and an answer of each shard that it asked."""
+        table = table.sort_by("shard")
+        data = table["data"].to_pylist()
+        sizes, order, back, word = pickle.loads(data[0])
+        n_u = len(back) // 2
+        level, count = np.empty(len(order), np.uint8), np.zeros(len(order), np.int64)
+        level[order] = np.frombuffer(b"".join(data[1:]), np.uint8)
+        count[order[word]] = np.frombuffer(b"".join(table["counts"].to_pylist()[1:]), np.int64)
+        rows_ = table["rows"].combine_chunks().slice(0, 1).flatten()
+        return pa.Table.from_batches([_scored(rows_, sizes, back[:n_u], back[n_u:], level, count, floor)])
+
+    return both.groupBy("block").applyInArrow(gathered, kind)
+
+
 def _codes(words: bytes, bigrams: bytes, start: int) -> np.ndarray:
     """(bigram, context, word) levels of each token as one number."""
     u, b = np.frombuffer(words, np.uint8).astype(np.int64), np.frombuffer(bigrams, np.uint8).astype(np.int64)
@@ -311,28 +422,26 @@ class Interpolation:
         return np.log10(w * bi + (1 - w) * uni)
 
 
-def score(docs: DataFrame, training: Column, broadcast_bytes: int = 256 << 20) -> DataFrame:
+def score(docs: DataFrame, training: Column, broadcast_bytes: int = 256 << 20, bits_each: int = BITS) -> DataFrame:
     """doc_id, training, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select("doc_id", "text", training.alias("training"))
-    corpus = learn(rows.where("training"))
-    row = F.struct("doc_id", "training").alias("row")
-    table = rows.select(row, "text", F.lit(0.0).alias("base"), F.lit(0).cast("bigint").alias("known"), F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("bigrams"))
-    kind = f"row struct<doc_id:{dict(rows.dtypes)['doc_id']},training:boolean>, text string, base double, known bigint, words binary, bigrams binary"
-    start_level = 0
-    groups = _groups(corpus, broadcast_bytes)
+    corpus = learn(rows.where("training"), bits_each)
+    given = rows.select(F.struct("doc_id", "training").alias("row"), "text")
+    row_type = f"struct<doc_id:{dict(rows.dtypes)['doc_id']},training:boolean>"
+    kind = f"row {row_type}, base double, known bigint, words binary, bigrams binary"
+    floor = corpus.total + 0.1 * (corpus.kinds + 1)
     start = _Hasher().start
-    for k, group in enumerate(groups):
-        part = {r["shard"]: (bytes(r["bits"]), bytes(r["words"]), bytes(r["counts"])) for r in corpus.shards.where(F.col("shard").isin(group)).toLocalIterator()} if group else {}
-        s = int((start >> np.uint64(33)) % np.uint64(corpus.n_shards))
-        if s in part:
-            start_level = int(LogBloom(np.frombuffer(part[s][0], np.uint8)).levels(np.array([start]))[0])
-        sent = spark.sparkContext.broadcast(part)  # at most broadcast_bytes
-        table = table.mapInArrow(_probing(sent, corpus.n_shards, corpus.total, corpus.kinds), kind)
-        table = stored(table.drop("text") if k == len(groups) - 1 else table, "levels")
-        sent.destroy()
-        del part
+    own = corpus.shards.where(F.col("shard") == int((start >> np.uint64(33)) % np.uint64(corpus.n_shards))).select("bits").collect()
+    start_level = int(LogBloom(np.frombuffer(own[0]["bits"], np.uint8)).levels(np.array([start]))[0]) if own else 0
+    if (corpus.shards.agg(F.sum(sum((F.length(c) for c in Shipped.PARTS), F.lit(0)))).first()[0] or 0) <= broadcast_bytes:
+        shards = Shipped(spark, corpus.shards.toLocalIterator(), corpus.n_shards)  # at most broadcast_bytes
+        table = stored(given.mapInArrow(_probing(shards, floor), kind), "levels")
+        shards.sent.destroy()
+    else:
+        table = stored(_routed(given, corpus, row_type, kind, floor), "levels")
+    dropped(spark, corpus.shards)
     code_space = N_LEVELS**3
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +462,7 @@ def score(docs: DataFrame, training: Column, broadcast_bytes: int = 256 << 20) -
             got = [model.log10(_codes(w, b, start_level)) for w, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[3:], pa.array([len(x) for x in got], pa.int64()), pa.array([float(x.sum()) for x in got], pa.float64())], ["row", "base", "known", "n_tokens", "score"])
 
-    out = table.select("row", "words", "bigrams", "base", "known").mapInArrow(final, kind.split(", text")[0] + ", base double, known bigint, n_tokens bigint, score double")
+    out = table.select("row", "words", "bigrams", "base", "known").mapInArrow(final, kind.split(", words")[0] + ", n_tokens bigint, score double")
     return out.select("row.doc_id", "row.training", "n_tokens", F.col("known").alias("n_known"), F.lit(corpus.total).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
@@ -362,15 +471,3 @@ def scores(docs: DataFrame) -> DataFrame:
     held_out = F.coalesce(F.pmod(fold_of("doc_id"), F.lit(10)) == 0, F.lit(False))
     out = score(docs, ~held_out)
     return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
-ORACLE_BASE = r"""
-WITH t AS (
-  SELECT doc_id, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ')) AS token FROM documents
-), f AS (SELECT DISTINCT doc_id, doc_id IN (SELECT doc_id FROM held) AS held_out FROM documents
-), c AS (SELECT token, count(*) AS c FROM t JOIN f USING (doc_id) WHERE NOT held_out GROUP BY token
-), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
-SELECT doc_id, any_value(held_out) AS held_out, count(*)::BIGINT AS n_tokens, count(*) FILTER (WHERE c.c > 0)::BIGINT AS n_known,
-       any_value(n.n)::BIGINT AS train_tokens, sum(log10((coalesce(c.c, 0) + 0.1) / (n.n + 0.1 * (n.v + 1)))) AS base_score
-FROM t JOIN f USING (doc_id) LEFT JOIN c USING (token) CROSS JOIN n GROUP BY doc_id
-"""

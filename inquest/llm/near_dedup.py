@@ -18,8 +18,10 @@ finished exactly: their members outside the main component are compared with all
 products that return connecting edges only. Every pair of a bucket is compared or already connected.
 
 Cases: null and empty texts, and texts without a word, are groups of their own; a text of fewer than WORDS
-words is one shingle; a row without doc_id is kept with a null group; rows that repeat a doc_id are one
-document; a table without rows gives a table without rows; other columns pass through ``deduplicated``.
+words is one shingle, and a very long one is read whole; a row without doc_id is kept with a null group; rows that
+repeat a doc_id are told apart by their texts, each in its text's group, so that no text is lost with another of
+the same id; ties don't matter, as the smallest id stays; doc_id may have any type that has an order; a table
+without rows gives a table without rows; other columns pass through ``deduplicated`` whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inquest.llm.common import WORD, WordHashes, forest, free_name, key_of, mix64, ship, slices, stored
+from inquest.llm.common import WORD, WordHashes, dropped, forest, free_name, key_of, mix64, ship, slices, stored
 from inquest.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -182,85 +184,108 @@ def _blocks(similarity: float):
 
 
 class _Buckets:
-    """Candidate search over the members of buckets, without all pairs of a bucket."""
+    """Candidate search over the members of buckets, without all pairs of a bucket.
+
+    texts: id, text of the members.
+    """
 
     BLOCK = 128
 
-    def __init__(self, docs: DataFrame, members: DataFrame, similarity: float) -> None:
-        self.similarity = similarity
-        ids = members.select(F.col("id").alias("doc_id")).distinct()
-        texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
-        self.bags = stored(texts.mapInArrow(_bagged, "id bigint, bag binary"), "bags")
+    def __init__(self, texts: DataFrame, members: DataFrame, similarity: float) -> None:
+        self.similarity, self.spark = similarity, members.sparkSession
+        self.made: list[DataFrame] = []
+        self.bags = self.stored(texts.mapInArrow(_bagged, "id bigint, bag binary"), "bags")
         self.members = members
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(stored(df, name))
+        return self.made[-1]
+
     def leaders(self) -> DataFrame:
         """Each member with its bucket's leader: the one with the most company over all its buckets, which the
         original of many copies has, then the least id."""
-        sizes = stored(self.members.groupBy("band", "key").agg(F.count("*").alias("n")), "sizes")
+        sizes = self.stored(self.members.groupBy("band", "key").agg(F.count("*").alias("n")), "sizes")
         company = self.members.join(sizes, ["band", "key"]).groupBy("id").agg(F.sum("n").alias("company"))
-        ranked = self.members.join(stored(company, "company"), "id")
+        ranked = self.members.join(self.stored(company, "company"), "id")
         lead = ranked.groupBy("band", "key").agg(F.max(F.struct("company", (-F.col("id")).alias("id"))).alias("m"))
-        lead = stored(lead.select("band", "key", (-F.col("m.id")).alias("y")), "leaders")
+        lead = self.stored(lead.select("band", "key", (-F.col("m.id")).alias("y")), "leaders")
         return self.members.join(lead, ["band", "key"]).select(F.col("id").alias("x"), "y")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) whose whole multisets overlap enough."""
-        pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "pairs")
+        pairs = self.stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "pairs")
         left, right = self.bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), self.bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b")
-        return stored(both.mapInArrow(_verified(self.similarity), "a bigint, b bigint"), "links")
+        return self.stored(both.mapInArrow(_verified(self.similarity), "a bigint, b bigint"), "links")
 
     def run(self) -> DataFrame:
-        """node, component of every representative that has a link."""
+        """node, component of every text that has a link; what was written on the way is deleted."""
+        labels = self.labels()
+        dropped(self.spark, *self.made)
+        return labels
+
+    def labels(self) -> DataFrame:
         links = self.compare(self.leaders())
         labels = components(links, "groups")
         named = self.members.join(labels, F.col("id") == F.col("node"), "left").select("band", "key", "id", F.coalesce("component", "id").alias("c"))
-        named = stored(named, "named")
+        named = self.stored(named, "named")
         sizes = named.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
         # the component with most members in a bucket, the least id among equals
         open_ = sizes.groupBy("band", "key").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("m"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
         blocks = [F.ceil(x / self.BLOCK).cast("int").alias(n) for x, n in ((F.col("all") - F.col("m.n"), "kx"), (F.col("all"), "ky"))]
-        open_ = stored(open_.select("band", "key", (-F.col("m.c")).alias("main"), *blocks), "open")
+        open_ = self.stored(open_.select("band", "key", (-F.col("m.c")).alias("main"), *blocks), "open")
         if open_.isEmpty():
             return labels
         return components(links.unionByName(self._exhaust(named, open_)), "groups")
 
     def _exhaust(self, named: DataFrame, open_: DataFrame) -> DataFrame:
         """Compare members outside a bucket's main component with all of other components in it, by blocks."""
-        rows = stored(named.join(open_, ["band", "key"]).select("band", "key", "id", "c", "main", "kx", "ky"), "open-rows")
+        rows = self.stored(named.join(open_, ["band", "key"]).select("band", "key", "id", "c", "main", "kx", "ky"), "open-rows")
         own, every = F.xxhash64("id"), lambda k: F.sequence(F.lit(0), F.col(k) - 1)
         few = rows.where("c <> main").select("band", "key", "id", "c", F.lit(0).alias("role"), F.pmod(own, "kx").cast("int").alias("bx"), F.explode(every("ky")).alias("by"))
         all_ = rows.select("band", "key", "id", "c", F.lit(1).alias("role"), F.explode(every("kx")).alias("bx"), F.pmod(own, "ky").cast("int").alias("by"))
-        dealt = stored(few.unionByName(all_), "block-rows").join(self.bags, "id")
-        return stored(dealt.groupBy("band", "key", "bx", "by").applyInArrow(_blocks(self.similarity), "a bigint, b bigint"), "links")
+        dealt = self.stored(few.unionByName(all_), "block-rows").join(self.bags, "id")
+        return self.stored(dealt.groupBy("band", "key", "bx", "by").applyInArrow(_blocks(self.similarity), "a bigint, b bigint"), "links")
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, h1, h2, group_id of each row that has a doc_id; h1 and h2 stand for its text."""
+    spark = docs.sparkSession
+    ship(spark)
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", *key_of("text"), "text")
+    kind = dict(docs.dtypes)["doc_id"]
+    signed = stored(known.mapInArrow(_signed, f"doc_id {kind}, h1 bigint, h2 bigint, bands array<bigint>"), "signatures")
+    copies = signed.where(F.size("bands") > 0).groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"))
+    # a number for each different text, written so that it stays
+    copies = stored(copies.withColumn("id", F.monotonically_increasing_id()), "copies")
+    first = signed.join(copies, ["h1", "h2"]).where("doc_id = first_doc").dropDuplicates(["id"])
+    members = first.select("id", F.posexplode("bands").alias("band", "key")).select("band", "key", "id")
+    shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    members = stored(members.join(shared, ["band", "key"], "left_semi"), "members")
+    ids = copies.join(members.select("id").distinct(), "id", "left_semi")
+    texts = known.join(ids.withColumnRenamed("first_doc", "doc_id").hint("shuffle_hash"), ["doc_id", "h1", "h2"]).dropDuplicates(["id"]).select("id", "text")
+    labels = _Buckets(texts, members, similarity).run()
+    named = stored(copies.join(labels, F.col("id") == F.col("node"), "left").select("h1", "h2", "first_doc", F.coalesce("component", "id").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("first_doc").alias("group_id"))
+    named = stored(named.join(least, "component").select("h1", "h2", "group_id"), "named")
+    dropped(spark, members, labels)
+    # texts without a word are in no bucket
+    return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id -> doc_id, group_id (the group's smallest doc_id), one row for each row of docs."""
-    ship(docs.sparkSession)
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    known = given.where("doc_id IS NOT NULL")
-    signed = known.select("doc_id", *key_of("text"), "text").mapInArrow(_signed, "doc_id bigint, h1 bigint, h2 bigint, bands array<bigint>")
-    signed = stored(signed, "signatures")
-    copies = signed.where(F.size("bands") > 0).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    copies = stored(copies, "copies")
-    first = signed.join(copies, ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["doc_id", "h1", "h2"])
-    members = first.select("doc_id", F.posexplode("bands").alias("band", "key")).select("band", "key", F.col("doc_id").alias("id"))
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    members = stored(members.join(shared, ["band", "key"], "left_semi"), "members")
-    labels = _Buckets(known, members, similarity).run()
-    named = copies.join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("group_id"))
-    by_doc = signed.join(named, ["h1", "h2"], "left").groupBy("doc_id").agg(F.coalesce(F.min("group_id"), F.col("doc_id")).alias("group_id"))
-    out = known.select("doc_id").join(by_doc, "doc_id", "left")
-    return out.unionByName(given.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("bigint").alias("group_id")))
+    out = _classes(docs, similarity).select("doc_id", "group_id")
+    return out.unionByName(docs.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("group_id")))
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose document stays."""
-    found, = free_name(docs, "__kept")
-    kept = groups(docs, similarity).where("doc_id = group_id").select(F.col("doc_id").alias(found)).distinct()
-    stay = docs.join(kept, F.col("doc_id") == F.col(found), "left_semi")
-    return stay.unionByName(docs.where("doc_id IS NULL"))
+    doc, one, two = free_name(docs, "__doc", "__h1", "__h2")
+    goes = _classes(docs, similarity).where("doc_id <> group_id").select(F.col("doc_id").alias(doc), F.col("h1").alias(one), F.col("h2").alias(two))
+    h1, h2 = key_of("text")
+    # those that go are fewer than those that stay
+    return docs.join(stored(goes.distinct(), "goes"), (F.col("doc_id") == F.col(doc)) & (h1 == F.col(one)) & (h2 == F.col(two)), "left_anti")
 
 
 def membership(docs: DataFrame) -> DataFrame:

@@ -145,19 +145,258 @@ def test_scores_as_brute_force(spark):
         assert r.base_score == pytest.approx(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
         assert r.score <= 0
     assert sum(out[i].score for i in toks if held[i]) > sum(out[i].base_score for i in toks if held[i])
-    few = lm_bloom.score(docs, ~F.lit(False), broadcast_bytes=3000)
-    one = lm_bloom.score(docs, ~F.lit(False))
-    a, b = ({r.doc_id: r.score for r in d.collect()} for d in (few, one))
-    assert all(a[i] == pytest.approx(b[i]) for i in a)
     assert lm_bloom.scores(docs.limit(0)).count() == 0
 
 
-def test_bloom_levels_never_fall_short():
-    rng = np.random.default_rng(1)
-    h = rng.integers(0, 2**63, 5000, dtype=np.uint64)
-    level = rng.integers(1, 12, 5000)
-    bloom = lm_bloom.LogBloom.holding(h, level)
-    got = bloom.levels(h)
-    assert (got >= level).all() and (got == level).mean() > 0.95
-    assert (bloom.levels(rng.integers(0, 2**63, 5000, dtype=np.uint64)) > 0).mean() < 0.06
-    assert all(lm_bloom.VALUE[:6] == [0, 1, 2, 3, 4, 5]) and (np.diff(lm_bloom.VALUE) > 0).all()
+def model_scores(toks, learned):
+    """The model's log10 probability of each text, from exact counts and dictionaries."""
+    level = lambda n: int(np.searchsorted(lm_bloom.LEVELS, n, "right")) - 1
+    value = lambda n: float(lm_bloom.VALUE[level(n)])
+    pairs = {i: list(zip([None, *ws], ws, strict=False)) for i, ws in toks.items()}
+    uni, bi = Counter(w for i in learned for w in toks[i]), Counter(p for i in learned for p in pairs[i])
+    uni[None] = len(learned)  # what comes before a first word
+    words = {w: n for w, n in uni.items() if w is not None and n}
+    once, twice = sum(n == 1 for n in words.values()), sum(n == 2 for n in words.values())
+    discount = min(max(once / max(1, once + 2 * twice), 0.1), 0.9)
+    total = max(1.0, sum(map(value, words.values())))
+    unseen = discount * len(words) / total / (len(words) + 1) if words else 1.0
+    group = lambda h: sum(level(uni[h]) >= g for g in (1, 2, 3, 6, 9, 14, 20))
+
+    def parts(h, w, out):
+        c, ch, cb = (max(value(n) - out, 0.0) for n in (uni[w], uni[h], bi[h, w]))
+        p = max(c - discount, 0.0) / total if c > 0 else unseen
+        return max(p, 1e-300), min(cb / ch, 1.0) if ch > 0 else 0.0, group(h) if ch > 0 else 0
+
+    weights = [0.0] + [0.3] * 7
+    seen = [(n, *parts(h, w, 1.0)) for (h, w), n in bi.items() if n]
+    for _ in range(50):
+        mass, share = [0.0] * 8, [0.0] * 8
+        for n, p, q, g in seen:
+            mass[g] += n
+            share[g] += n * weights[g] * q / (weights[g] * q + (1 - weights[g]) * p)
+        weights = [0.0] + [share[g] / mass[g] if mass[g] else 0.0 for g in range(1, 8)]
+    weights = [min(w, 0.999) for w in weights]
+    log = lambda p, q, g: np.log10(weights[g] * q + (1 - weights[g]) * p)
+    return {i: sum(log(*parts(h, w, 0.0)) for h, w in pairs[i]) for i in toks}
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 28, 0])
+def test_model_scores_as_brute_force(spark, broadcast_bytes):
+    # with 64 bits an n-gram the filters say nothing false
+    rows = [(f"d{i}", t) for i, t in lm_rows() if i is not None] + [("long", "aa bb " * 40_000), ("d1", "w1 w2"), (None, "x\n")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id string, text string, training long")
+    learned = [k for k in range(len(rows)) if k % 5]
+    toks = {k: (t or "").encode().lower().split() + [b" end"] for k, (_, t) in enumerate(rows)}
+    want = model_scores(toks, learned)
+    out = lm_bloom.score(docs.repartition(3), F.col("training") % 5 != 0, broadcast_bytes, bits_each=64).collect()
+    got = sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in out)
+    assert got == sorted((str(rows[k][0]), len(toks[k]), round(want[k], 6)) for k in toks)
+    c = Counter(w for k in learned for w in toks[k])
+    n, v = sum(c.values()), len(c)
+    base = sorted(round(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6) for ws in toks.values())
+    assert sorted(round(r.base_score, 6) for r in out) == base and sum(r.n_known for r in out) == sum(c[w] > 0 for ws in toks.values() for w in ws)
+
+
+def test_broadcast_is_mapped_or_read(spark):
+    for size in (10, 1 << 18):
+        rows = [{"shard": s, **{p: bytes([s, k]) * (size + s) for k, p in enumerate(lm_bloom.Shipped.PARTS)}} for s in (0, 2)]
+        sent = lm_bloom.Shipped(spark, iter(rows), 3)
+
+        def look(_, sent=sent):
+            whole = sent.open()
+            return type(whole).__name__, [[bytes(whole[a:b]) for a, b in parts] for parts in sent.at], whole.ctypes.data % 8
+
+        kind, got, odd = spark.sparkContext.parallelize([0], 1).map(look).collect()[0]
+        assert got == [[r[p] for p in lm_bloom.Shipped.PARTS] if r else [b""] * 3 for r in (rows[0], None, rows[1])]
+        assert kind == ("memmap" if size > 1 << 16 else "ndarray") and (kind == "ndarray" or (odd + int(sent.at[0, 0, 0])) % 8 == 0)
+
+
+def votes_of(text):
+    """The ten rules, counted word by word."""
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
+    n, per = len(words), max(1, len(words))
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    twice = sum(x in lines[:k] for k, x in enumerate(lines))
+    again = repeats(words)
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    plain = sum(w[-1].isalnum() or w[-1] in ".,;:?)\"'" or (w[-1] == "!" and w[-2:] != "!!") for w in words) / per
+    headed = sum(w[0].isalnum() for w in words) / per
+    marked = sum(w[-1] in ".?!" for w in words) / per
+    capitals, shouts = sum(w.isupper() for w in words) / per, sum(w[-2:] == "!!" for w in words) / per
+    length, distinct = sum(map(len, words)) / per, len(set(words)) / per
+    say = lambda bad, good=False: 1 if bad else 0 if good else 2
+    votes = [
+        say(symbols / per >= 0.15, symbols / per <= 0.03), say(plain <= 0.75, plain >= 0.95), say(headed <= 0.85, headed >= 0.97), say(n >= 30 and (marked < 0.004 or marked > 0.6), n >= 30 and 0.02 <= marked <= 0.4),
+        say(n >= 20 and capitals >= 0.5), say(shouts >= 0.1, shouts == 0), say(length < 2 or length > 14), say(twice / max(1, len(lines)) >= 0.3), say(again / per > 0.3, again / per <= 0.05), say(n >= 50 and distinct < 0.1),
+    ]
+    return (n, sum(map(len, words)), symbols, twice, again), votes
+
+
+def test_verdicts_as_brute_force(spark):
+    rows = [(str(i), t) for i, t, _ in quality_rows()] + [("a", None), ("b", ""), ("a", "too short"), (None, "na na " * 60), ("c", "Great!! " * 30), ("d", "SHOUT IT\n" * 25), ("e", "word " * 70_000), ("0", quality_rows()[0][1])]
+    docs = spark.createDataFrame([(*r, 1, "v") for r in rows], "doc_id string, text string, n_words int, votes string")
+    counts, votes = zip(*(votes_of(t) for _, t in rows), strict=True)
+    good, table = 0.8, [[[0.72, 0.08, 0.2], [0.3, 0.5, 0.2]] for _ in range(10)]  # by rule: on good, on bad documents
+    start = [[[10 * p for p in side] for side in rule] for rule in table]
+
+    def posterior(v):
+        a, b = good, 1 - good
+        for j, x in enumerate(v):
+            a, b = a * table[j][0][x], b * table[j][1][x]
+        return a / (a + b)
+
+    for _ in range(200):
+        p = [posterior(v) for v in votes]
+        fresh = [[list(side) for side in rule] for rule in start]
+        for q, v in zip(p, votes, strict=True):
+            for j, x in enumerate(v):
+                fresh[j][0][x] += q
+                fresh[j][1][x] += 1 - q
+        good = (sum(p) + 8) / (len(p) + 10)
+        fresh = [[[x / sum(side) for x in side] for side in rule] for rule in fresh]
+        moved = max(abs(x - y) for r, s in zip(fresh, table, strict=True) for a, b in zip(r, s, strict=True) for x, y in zip(a, b, strict=True))
+        table = fresh
+        if moved < 1e-9:
+            break
+    want = []
+    for (i, _), c, v in zip(rows, counts, votes, strict=True):
+        failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
+        want.append((str(i), *c, failed, not failed and posterior(v) >= 0.5, round(posterior(v), 6)))
+    got = [(str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, round(r.quality, 6)) for r in quality_rules.verdicts(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def grams(text):
+    """How often each column occurs, gram by gram."""
+    padded = " " + text.lower() + " "
+    out, narrow = Counter(), max(map(ord, padded)) < 1024
+    for size in (1, 2, 3):
+        for k in range(len(padded) - size + 1):
+            codes = [ord(c) for c in padded[k : k + size]]
+            if narrow:
+                x = sum(c << (10 * (size - 1 - j)) for j, c in enumerate(codes)) + (0, 0x40000000, 0x80000001)[size - 1] & 0xFFFFFFFF
+                x = (x ^ x >> 16) * 0x7FEB352D & 0xFFFFFFFF
+                x = (x ^ x >> 15) * 0x846CA68B & 0xFFFFFFFF
+                out[x >> 32 - langid.BITS] += 1
+            else:
+                x = sum(c << (21 * (size - 1 - j)) for j, c in enumerate(codes)) + (size == 2) * (1 << 43) & (1 << 64) - 1
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+                out[(x ^ x >> 31) >> 64 - langid.BITS] += 1
+    return out
+
+
+def test_language_as_brute_force(spark):
+    rows = [(f"d{i}", t if i % 5 else t + " 日本", lang) for i, t, lang in texts(70)] + [("d0", "the ing tion", "aa"), ("d0", "the ing tion", "aa"), (None, "", "bb"), ("x", "12", "cc"), ("long", "keit ung " * 4_000, "cc")]
+    docs = spark.createDataFrame([(*r, 0.5, "q") for r in rows], "doc_id string, text string, lang string, score double, draw string")
+    drawn = {(r.doc_id, r.text): r.d for r in docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("d")).collect()}
+    train = [r for r in rows if r[2] is not None and (r[0] is None or zlib.crc32(r[0].encode()) % 4 != 2)]
+    df, total = Counter(), 0
+    for _, t, _ in train:
+        if t:
+            total += 1
+            df.update(grams(t).keys())
+    idf = lambda c: np.log((1 + total) / (1 + df[c])) + 1
+    langs = sorted({lang for *_, lang in train})
+
+    def vector(t):
+        x = {c: (1 + np.log(n)) * idf(c) for c, n in grams(t).items()}
+        size = sum(v * v for v in x.values()) ** 0.5
+        return {c: v / size for c, v in x.items()}
+
+    kept = sorted((drawn[i, t], lang, t) for i, t, lang in train if any(c.isalpha() for c in t))
+    seen = [(vector(t), langs.index(lang)) for _, lang, t in kept]
+    held, learned = seen[::10], [s for k, s in enumerate(seen) if k % 10]
+    assert len(seen) >= 50
+    z, n = {}, {}
+
+    def weight(c, k):
+        a, b = z.get((c, k), 0.0), n.get((c, k), 0.0)
+        return 0.0 if abs(a) <= langid.L1 else -(a - np.sign(a) * langid.L1) / ((langid.BETA + b**0.5) / langid.ALPHA + langid.L2)
+
+    def logits(x):
+        return np.array([sum(v * weight(c, k) for c, v in x.items()) + weight("constant", k) for k in range(len(langs))])
+
+    for epoch in range(langid.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(learned)):
+            x, y = learned[i]
+            p = langid.softmax(logits(x)) - np.eye(len(langs))[y]
+            for c, v in [*x.items(), ("constant", 1.0)]:
+                for k in range(len(langs)):
+                    w, g, old = weight(c, k), v * p[k], n.get((c, k), 0.0)
+                    z[c, k] = z.get((c, k), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / langid.ALPHA * w
+                    n[c, k] = old + g * g
+    shown, said = np.array([logits(x) for x, _ in held]), np.array([y for _, y in held])
+    loss = lambda t: -np.log(np.maximum(langid.softmax(shown / np.exp(t))[np.arange(len(said)), said], 1e-12)).mean()
+    heat = np.exp(min(np.linspace(-3, 3, 6001), key=loss))
+    want = []
+    for i, t, _ in rows:
+        p = langid.softmax(logits(vector(t)) / heat) if t and any(c.isalpha() for c in t) else None
+        want.append((str(i), langs[int(p.argmax())] if p is not None else "und", float(p.max()) if p is not None else 0.0))
+    got = sorted((str(r.doc_id), r.lang_pred, r.score) for r in langid.predictions(docs).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)], atol=2e-3)
+
+
+def test_rare_languages_are_drawn_whole(spark):
+    share = langid.quotas({"a": 5, "b": 100_000, "c": 400}, 1000)
+    assert share["a"] == share["c"] == 1.0 and share["b"] * 100_000 == pytest.approx(900 - 405)
+    assert langid.quotas({"a": 5}, 1000) == {"a": 1.0}
+    rows = texts(300) + [(1000 + i, "zzyzx qoph vav", "dd") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert "dd" in langid.fit(docs, F.lit(True), sample=60).langs
+
+
+def test_sites_as_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows, labels = [], {}
+    for i, text, good in quality_rows():
+        rows.append((f"k{i}", text, None if i % 13 == 0 else "bad" if not good and i % 3 else f"h{i % 3}", None if i % 7 == 0 else f"/p{i % 2}"))
+        if rng.random() < 0.6:
+            labels[f"k{i}"] = good
+    rows += [("k0", rows[0][1], "h0", "/p0"), (None, "some text here", "h1", "/p1"), ("e", None, "h1", None), ("f", "", "lone", "/only"), ("g", "go " * 60_000, "lone", "/other")]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id string, text string, h string, p string, quality double")
+    lab = spark.createDataFrame([*labels.items(), ("zz", 1), (None, 0), ("f", None)], "doc_id string, quality int")
+    x = []
+    for _, t, *_ in rows:
+        s = dict(zip(textstats.FIELDS, textstats.stats(t), strict=True))
+        n, m = max(1, s["n_words"]), max(1, s["n_lines"])
+        x.append([np.log1p(s["n_words"]), s["word_chars"] / n, min(s["n_symbols"] / n, 2), s["n_dup_lines"] / m, s["n_repeat_words"] / n, s["n_distinct"] / n, s["n_upper"] / n, s["n_shouts"] / n, s["n_marked"] / n, np.log1p(s["n_words"] / m)])
+    x = np.array(x)
+    known = [k for k, r in enumerate(rows) if r[0] in labels]
+    y = np.array([labels[rows[k][0]] for k in known], float)
+    mean, spread = x[known].mean(0), np.maximum(x[known].std(0), 1e-6)
+    z = np.c_[(x - mean) / spread, np.ones(len(x))]
+    w = np.zeros(11)
+    for _ in range(100_000):  # plain gradient steps
+        p = 1 / (1 + np.exp(-z[known] @ w))
+        g = z[known].T @ (p - y) + np.append(w[:-1], 1e-6 * w[-1])
+        w -= 0.02 * g
+        if np.abs(g).max() < 1e-10:
+            break
+    doc = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    paths, hosts = {}, {}
+    for r, d in zip(rows, doc, strict=True):
+        for table, k in ((paths, r[2:]), (hosts, r[2])):
+            n, s = table.get(k, (0, 0.0))
+            table[k] = n + 1, s + d
+    centre = min(max(doc.mean(), 1e-3), 1 - 1e-3)
+
+    def strength(groups):  # (n, sum, centre)
+        use = [(n, s / n, c) for n, s, c in groups if n > 1]
+        e = np.mean([c * (1 - c) for *_, c in use])
+        between = max(np.mean([(r - c) ** 2 for _, r, c in use]) - np.mean([c * (1 - c) / n for n, _, c in use]), 1e-9)
+        return min(max(e / between - 1, 2.0), 10_000.0)
+
+    k_host = strength([(n, s, centre) for n, s in hosts.values()])
+    others = {k: (k_host * centre + hosts[k[0]][1] - s) / (k_host + hosts[k[0]][0] - n) for k, (n, s) in paths.items()}
+    k_path = strength([(n, s, others[k]) for k, (n, s) in paths.items()])
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    want = []
+    for r, d in zip(rows, doc, strict=True):
+        n, s = paths[r[2:]]
+        share = (k_path * others[r[2:]] + s - d) / (k_path + n - 1)
+        want.append((str(r[0]), d, share, 1 / (1 + np.exp(-(logit(d) + logit(share) - logit(centre))))))
+    got = [(str(r.doc_id), r.document, r.path_share, r.quality) for r in quality_sites.score(docs, lab, F.col("h"), F.col("p")).collect()]
+    assert [g[0] for g in sorted(got)] == [x[0] for x in sorted(want)]
+    assert np.allclose([g[1:] for g in sorted(got)], [x[1:] for x in sorted(want)], atol=1e-5)

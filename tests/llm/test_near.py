@@ -106,3 +106,19 @@ def test_ties_between_very_long_documents():
         for short, links in ((4 * n, 1), (4 * n - 1, 0)):
             block = pa.table({"role": [0, 1], "id": [1, 2], "c": [1, 2], "bag": [all_[: 5 * n].tobytes(), all_[:short].tobytes()]})
             assert nd._blocks(0.8)(block).num_rows == links
+
+
+def test_texts_that_share_an_id_keep_their_own_groups(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    a, b, c, long = (" ".join(word() for _ in range(n)) for n in (60, 60, 60, 60_000))
+    near = c.rsplit(" ", 1)[0] + " other"
+    rows = [("k2", a), ("k2", b), ("k3", b), ("k5", c), ("k4", near), ("k6", c), ("k9", long), ("k8", long + " end"), ("k7", None), ("k7", ""), (None, a), ("k2", a)]
+    docs = spark.createDataFrame([(*r, 1, "g") for r in rows], "doc_id string, text string, id int, group_id string")
+    got = sorted(map(str, ((r.doc_id, r.group_id) for r in nd.groups(docs).collect())))
+    want = {a: "k2", b: "k2", c: "k4", near: "k4", long: "k8", long + " end": "k8", None: "k7", "": "k7"}
+    assert got == sorted(map(str, ((i, want[t] if i else None) for i, t in rows)))
+    stay = [(i, t) for i, t in rows if i is None or want[t] == i]
+    out = nd.deduplicated(docs)
+    assert out.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, stay))
+    assert {t for _, t in rows if t} - {c, long} == {r.text for r in out.collect() if r.text}
