@@ -7,13 +7,16 @@ first: each document floor(target / source size) times. The rest of the target i
 replacement: each document draws an exponential key, -ln(u) over its quality weight, and the documents of
 least key are taken while their summed words fit.
 
-The order within a source is never one task's sort. Keys fall into bins; the words of each (source, bin) are
-summed before the shuffle, and prefix sums over a source's 256 bins say which bins are in and which one holds
-the cut. That bin is divided in the same way, twice, and only the documents of the last bin are sorted.
-
-Cases: a null text has size 0; documents of size 0 are taken 0 times; a source of size 0 has target 0; ties
-of key go by doc_id; rows that repeat a doc_id count as documents of their own; a null or non-positive quality
-weight counts as the least weight; a table without rows gives a table without rows.
+The order within a source is never one task's sort. Keys fall into bins by their logarithm, so that keys of any
+size are told apart; the words of each (source, bin) are summed before the shuffle, and prefix sums over a
+source's 256 bins say which bins are in and which one holds the cut. That bin is divided in the same way, twice,
+and only the documents of the last bin, at most 6 millionths of a source that has even weights, are sorted.
+
+Cases: a null text has size 0, and texts are counted whole however long; documents of size 0 are taken 0 times; a
+source of size 0 has target 0; ties of key go by doc_id; rows that repeat a doc_id, or have none, count as
+documents of their own, and those without draw by their text; a null, NaN or non-positive quality weight counts
+as the least weight, one above 1e12 as 1e12; doc_id may have any type that has an order; a table without rows gives
+a table without rows; ``mixed`` passes other columns on whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from inquest.llm.common import WORD, free_name, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
-LEAST_WEIGHT = 0.01
+LEAST_WEIGHT, MOST_WEIGHT = 0.01, 1e12
 #: Bins of a level, and levels: the last bins hold a source's documents by 2**-24.
 FAN, LEVELS = 256, 3
 
@@ -36,8 +39,9 @@ def quality_weight() -> Column:
 
 
 def uniform(seed: int) -> Column:
-    """A number in (0, 1) from the document's id and the seed: the same in every run and engine."""
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
+    """A number in (0, 1) from the document's id, or else its text, and the seed: the same in every run and engine."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("null"))
+    digest = F.md5(F.concat(own, F.lit(f":{seed}")).cast("binary"))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -73,15 +77,19 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, bud
     return ranked.select("source", "source_size", share.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share: float = 1.5, max_epochs: float = 2.0, quality: Column | None = None, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (times taken) and taken (words taken).
+def _bin(key: Column) -> Column:
+    """FAN**LEVELS bins of equal width over natural logarithms from -128 to 128."""
+    most = FAN**LEVELS - 1
+    return F.greatest(F.least(F.floor((F.log(key) + 128) * (most + 1) / 256), F.lit(most)), F.lit(0)).cast("bigint")
 
-    ``quality`` may read the columns of docs and ``size``.
-    """
+
+def _decided(docs: DataFrame, carried: list[str], weights: tuple[float, ...], budget_share: float, max_epochs: float, quality: Column | None, seed: int) -> DataFrame:
+    """One row for each of docs: the carried columns, source, size, source_size, target and copies."""
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
-    kept = F.greatest(F.coalesce(quality_weight() if quality is None else quality, F.lit(0.0)), F.lit(LEAST_WEIGHT))
-    drawn = sized.select("doc_id", "source", "size", (-F.log(uniform(seed)) / kept).alias("key"))
-    drawn = stored(drawn.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * FAN**LEVELS)), "drawn")
+    given = F.nanvl(F.coalesce((quality_weight() if quality is None else quality).cast("double"), F.lit(0.0)), F.lit(0.0))
+    key = -F.log(uniform(seed)) / F.greatest(F.least(given, F.lit(MOST_WEIGHT)), F.lit(LEAST_WEIGHT))
+    # row tells rows apart that are equal otherwise; it is written, so it stays what it is
+    drawn = stored(sized.select(*carried, "doc_id", "source", "size", key.alias("key"), _bin(key).alias("bin"), F.monotonically_increasing_id().alias("row")), "drawn")
     sizes = drawn.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, budget_share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -99,22 +107,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share: flo
         # a source without words has no cut
         plan = stored(plan.select("of", "source_size", "target", "epochs", "rest", F.coalesce("cut_", F.lit(-1)).alias("cut"), F.coalesce("before_", F.lit(0)).alias("before")), "plan")
     all_ = drawn.join(plan, drawn["source"].eqNullSafe(plan["of"])).drop("of")
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    at_cut = all_.where("bin = cut").withColumn("more", (F.col("before") + running - F.col("size") / 2 <= F.col("rest")).cast("bigint"))
-    others = all_.where("bin <> cut").withColumn("more", (F.col("bin") < F.col("cut")).cast("bigint"))
-    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("more")).otherwise(0).cast("bigint")
-    return others.unionByName(at_cut).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    running = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
+    taken = (F.col("before") + running - F.col("size") / 2 <= F.col("rest")).cast("bigint")
+    # few rows, which join the others without moving them
+    at_cut = stored(all_.where("bin = cut").select(F.col("row").alias("row_"), taken.alias("more")), "at-cut")
+    more = F.coalesce("more", (F.col("bin") < F.col("cut")).cast("bigint"))
+    copies = F.when(F.col("size") > 0, F.col("epochs") + more).otherwise(0).cast("bigint")
+    return all_.join(at_cut, F.col("row") == F.col("row_"), "left").select(*carried, "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share: float = 1.5, max_epochs: float = 2.0, quality: Column | None = None, seed: int = 17) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (times taken) and taken (words taken).
+
+    ``quality`` may read the columns of docs and ``size``.
+    """
+    return _decided(docs, [], weights, budget_share, max_epochs, quality, seed).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed(docs: DataFrame, **settings) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share: float = 1.5, max_epochs: float = 2.0, quality: Column | None = None, seed: int = 17) -> DataFrame:
     """The documents that the mix takes, each as often as it takes them, with docs' columns.
 
-    doc_id is to be unique here: it joins the decision with the text.
+    The texts are written once, beside what each row has drawn, and not shuffled.
     """
-    by_doc, copies, turn = free_name(docs, "__doc", "__copies", "__turn")
-    taken = mix(docs, **settings).where("copies > 0").select(F.col("doc_id").alias(by_doc), F.col("copies").alias(copies))
-    both = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(by_doc)))
-    return both.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    whole, = free_name(docs, "__whole")
+    packed = docs.withColumn(whole, F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    taken = _decided(packed, [whole], weights, budget_share, max_epochs, quality, seed).where("copies > 0")
+    return taken.select(whole, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(f"{whole}.*")
 
 
 def shares(docs: DataFrame) -> DataFrame:
@@ -124,7 +142,7 @@ def shares(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(text) AS chars,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':17'), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE AS u FROM documents
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(text), 'null') || ':17'), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE AS u FROM documents
 ), k AS (
   SELECT *, -ln(u) / greatest(coalesce(greatest(0.25, exp(-abs(chars / greatest(size, 1)::DOUBLE - 6.0) / 4.0)), 0.0), 0.01) AS key FROM d
 ), s AS (

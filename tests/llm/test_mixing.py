@@ -1,4 +1,7 @@
-from collections import defaultdict
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -72,6 +75,46 @@ def test_edges(spark):
     out = mixing.mix(table(spark, rows)).collect()
     assert len(out) == 6 and all(r.taken == 0 for r in out if r.source == "a") and {r.target for r in out if r.source == "a"} == {0.0}
     assert mixing.mix(table(spark, rows).limit(0)).count() == 0
-    docs = table(spark, rows).withColumn("__copies", mixing.F.lit(1))
-    kept = mixing.mixed(docs.where("doc_id IS NULL OR doc_id <> 3"))
-    assert kept.columns == docs.columns
+
+
+def picked(rows, quality, words):
+    """Copies of each row by sorting each source's keys: rows of (doc_id, text, source), one weight for each."""
+    sizes, order = defaultdict(int), defaultdict(list)
+    for k, (i, t, s) in enumerate(rows):
+        sizes[s] += words(t)
+        own = str(i) if i is not None else hashlib.md5(t.encode()).hexdigest() if t is not None else "null"
+        u = (int(hashlib.md5(f"{own}:17".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        order[s].append((-math.log(u) / quality[k], i is not None, i, words(t), k))
+    target, copies = filled(sizes), {}
+    for s, keys in order.items():
+        epochs = int(target[s] // sizes[s]) if sizes[s] else 0
+        rest, so_far = target[s] - epochs * sizes[s], 0
+        for *_, n, k in sorted(keys):
+            so_far += n
+            copies[k] = (epochs + (so_far - n / 2 <= rest)) if n else 0
+    return copies
+
+
+@pytest.mark.parametrize("weight", [None, "even", 0.01, 1e9])
+def test_null_and_repeated_ids_are_taken_as_sorting_says(spark, weight):
+    rng = random.Random(5)
+    rows = [(None if i % 9 == 0 else i // 2, f"s{i % 4}" if i % 7 else None, " ".join(f"w{rng.randrange(9)}{i}" for _ in range(rng.randrange(12)))) for i in range(400)]
+    rows += [(7, "s1", "the same row"), (7, "s1", "the same row"), (None, "s2", None), (5, "s3", ""), (6, "s3", "x " * 30_000 + "x")]
+    quality = [weight if isinstance(weight, float) else rng.random() + 0.1 for _ in rows]
+    kept = [max(q, 0.01) for q in quality] if weight else [0.01] * len(rows)
+    docs = spark.createDataFrame([(*r, q if weight else None, k, "z", "y") for k, (r, q) in enumerate(zip(rows, quality, strict=True))], "doc_id long, source string, text string, q double, size long, __whole string, `a.b` string")
+    want = picked([(i, t, s) for i, s, t in rows], kept, lambda t: len(t.split(" ")) if t else 0)
+    out = mixing.mixed(docs.repartition(5), quality=mixing.F.col("q"))
+    assert out.columns == docs.columns
+    twins = {r: [k for k, x in enumerate(rows) if x == r] for r in set(rows)}
+    got = Counter((r.doc_id, r.source, r.text) for r in out.collect())
+    if weight == "even":  # keys of their own: rows are known by their number
+        assert Counter(r.size for r in out.collect()) == Counter({k: n for k, n in want.items() if n})
+    assert got == Counter({r: sum(want[k] for k in ks) for r, ks in twins.items() if sum(want[k] for k in ks)})
+
+
+def test_string_ids_and_shares(spark):
+    rows = make(200)
+    docs = table(spark, rows)
+    a, b = ({str(r.doc_id): (r.size, r.source_size, r.target, r.taken) for r in mixing.shares(d).collect()} for d in (docs, docs.withColumn("doc_id", mixing.F.col("doc_id").cast("string"))))
+    assert a == b and mixing.shares(docs.limit(0)).count() == 0 == mixing.mixed(docs.limit(0)).count()
