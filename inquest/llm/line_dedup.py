@@ -8,11 +8,14 @@ again and the state is then what it was: nothing about the order of the edits re
 
 A filter answers "surely in one document only" for nearly all lines without touching the exact table; what it
 lets through is joined with the exact counts, so its false positives do no harm. Filters are broadcast while
-their summed size is at most ``broadcast_bytes``; beyond that all lines take the exact join, with equal results.
-
-Cases: null and empty texts are one empty line; keys shorter than ``min_chars`` code points never leave; a row
-without doc_id takes no part and keeps its lines; rows that repeat a doc_id are one document; a table without
-rows gives a table without rows; other columns pass through whatever their names.
+their summed size is at most ``broadcast_bytes``; beyond that lines travel to the filter of their shard, which a
+crowded shard has in several tasks. Both ways give equal results.
+
+Cases: null and empty texts are one empty line; texts are read whole however long; keys shorter than
+``min_chars`` code points never leave; a row without doc_id takes no part and keeps its lines; rows that repeat a
+doc_id are one document, also where their texts differ: a line is dropped from all of them or from none; doc_id
+may have any type that has an order; a table without rows gives a table without rows; other columns pass through
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from inquest.llm.common import WHITE, free_name, mix64, ship, stored
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys of the filters that one shard should hold at most, about.
 SHARD_KEYS = 1_000_000
+#: Lines that one task asks a filter about, about, where filters aren't broadcast.
+TASK_LINES = 4_000_000
 SLOTS, KICKS = 4, 500
 
 
@@ -72,24 +77,27 @@ class CuckooFilter:
     def insert(self, h1: np.ndarray, h2: np.ndarray) -> bool:
         """False if the filter is too full; it is then to be built anew."""
         prints, first, second = self._places(h1, h2)
+        left = np.arange(len(prints))
+        for places in (first, second):  # all keys at once, as far as buckets have room
+            order = left[np.argsort(places[left], kind="stable")]
+            at = places[order]
+            turn, free = np.arange(len(at)) - np.searchsorted(at, at, "left"), self.buckets[at] == 0
+            fits = turn < free.sum(1)
+            slots = np.argsort(~free[fits], 1, kind="stable")
+            self.buckets[at[fits], slots[np.arange(len(slots)), turn[fits]]] = prints[order[fits]]
+            left = order[~fits]
         rng, mask = np.random.default_rng(len(prints)), len(self.buckets) - 1
-        for p, at, other in zip(prints.tolist(), first.tolist(), second.tolist(), strict=True):
-            for where in (at, other):
+        for p, where in zip(prints[left].tolist(), second[left].tolist(), strict=True):
+            for _ in range(KICKS):
+                slot = int(rng.integers(SLOTS))
+                p, self.buckets[where, slot] = int(self.buckets[where, slot]), p
+                where ^= int(mix64(np.array([p], np.uint64))[0]) & mask
                 free = np.flatnonzero(self.buckets[where] == 0)
                 if len(free):
                     self.buckets[where, free[0]] = p
                     break
             else:
-                for _ in range(KICKS):
-                    slot = int(rng.integers(SLOTS))
-                    p, self.buckets[where, slot] = int(self.buckets[where, slot]), p
-                    where ^= int(mix64(np.array([p], np.uint64))[0]) & mask
-                    free = np.flatnonzero(self.buckets[where] == 0)
-                    if len(free):
-                        self.buckets[where, free[0]] = p
-                        break
-                else:
-                    return False
+                return False
         return True
 
     def delete(self, h1: np.ndarray, h2: np.ndarray) -> None:
@@ -123,12 +131,11 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = 10, shards: int | None = None) -> LineIndex:
-        return cls.of_lines(lines_of(docs, min_chars), min_chars, shards)
+        return cls.of_postings(stored(postings_of(lines_of(docs, min_chars)).distinct(), "postings"), min_chars, shards)
 
     @classmethod
-    def of_lines(cls, lines: DataFrame, min_chars: int = 10, shards: int | None = None) -> LineIndex:
-        ship(lines.sparkSession)
-        postings = postings_of(lines)
+    def of_postings(cls, postings: DataFrame, min_chars: int = 10, shards: int | None = None) -> LineIndex:
+        ship(postings.sparkSession)
         shared = stored(references(postings).where("n_docs > 1"), "shared-lines")
         if shards is None:
             shards = max(1, -(-shared.count() // SHARD_KEYS))
@@ -136,7 +143,7 @@ class LineIndex:
         return cls(postings, shared, stored(filters.mapInPandas(_build, "shard bigint, buckets binary"), "line-filters"), shards, min_chars)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        return self._changed(postings_of(lines_of(docs, self.min_chars)).join(self.postings, ["h1", "h2", "doc_id"], "left_anti"), gone=False)
+        return self._changed(postings_of(lines_of(docs, self.min_chars)).distinct().join(self.postings, ["h1", "h2", "doc_id"], "left_anti"), gone=False)
 
     def delete(self, docs: DataFrame) -> LineIndex:
         return self._changed(self.postings.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("h1", "h2", "doc_id"), gone=True)
@@ -161,8 +168,8 @@ class LineIndex:
 
 
 def lines_of(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """doc_id and the keys of its lines, in order; kept in the shared folder."""
-    return stored(docs.select("doc_id", line_keys(F.col("text"), min_chars).alias("keys")), "lines")
+    """doc_id, a hash of the text, and the keys of its lines, in order; kept in the shared folder."""
+    return stored(docs.select("doc_id", F.xxhash64("text").alias("own"), line_keys(F.col("text"), min_chars).alias("keys")), "lines")
 
 
 def postings_of(lines: DataFrame) -> DataFrame:
@@ -198,19 +205,18 @@ def _edit(key: tuple, edits: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFram
 
 
 def _suspects(lines: DataFrame, filters: DataFrame, shards: int, broadcast_bytes: int) -> DataFrame:
-    """doc_id, pos, h1, h2 of the lines that may be in two documents."""
+    """doc_id, own, pos, h1, h2 of the lines that may be in two documents."""
     each = lines.where("doc_id IS NOT NULL")
     total = filters.agg(F.sum(F.length("buckets"))).first()[0] or 0
     if total > broadcast_bytes:
-        out = each.select("doc_id", F.posexplode("keys").alias("pos", "k"))
-        return out.where("k IS NOT NULL").select("doc_id", "pos", "k.h1", "k.h2")
+        return _sent_to_filters(each, filters, shards)
     spark = lines.sparkSession
     sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["buckets"]) for r in filters.collect()})  # at most broadcast_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {s: CuckooFilter.parse(raw) for s, raw in sent.value.items()}
         for batch in batches:
-            keys = batch.column(1)
+            keys = batch.column(2)
             flat, rows = keys.flatten(), pc.list_parent_indices(keys).to_numpy()
             starts = np.searchsorted(rows, rows, "left")
             h1, h2 = (pc.fill_null(pc.struct_field(flat, n), 0).to_numpy(zero_copy_only=False) for n in ("h1", "h2"))
@@ -220,11 +226,41 @@ def _suspects(lines: DataFrame, filters: DataFrame, shards: int, broadcast_bytes
                 mine = np.flatnonzero((at == s) & valid)
                 maybe[mine] = f.contains(h1[mine], h2[mine])
             hit = np.flatnonzero(maybe)
-            ids = batch.column(0).take(pa.array(rows[hit]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array((hit - starts[hit]).astype(np.int32)), pa.array(h1[hit]), pa.array(h2[hit])], ["doc_id", "pos", "h1", "h2"])
+            ids, own = (batch.column(k).take(pa.array(rows[hit])) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([ids, own, pa.array((hit - starts[hit]).astype(np.int32)), pa.array(h1[hit]), pa.array(h2[hit])], ["doc_id", "own", "pos", "h1", "h2"])
 
     kind = dict(lines.dtypes)["doc_id"]
-    return each.select("doc_id", "keys").mapInArrow(run, f"doc_id {kind}, pos int, h1 bigint, h2 bigint")
+    return each.select("doc_id", "own", "keys").mapInArrow(run, f"doc_id {kind}, own bigint, pos int, h1 bigint, h2 bigint")
+
+
+def _sent_to_filters(each: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The same where filters stay in place: lines go to their shard's filter, of which each task has one at a time."""
+    shard = F.pmod("h1", F.lit(shards))
+    lines = each.select("doc_id", "own", F.posexplode("keys").alias("pos", "k")).where("k IS NOT NULL").select("doc_id", "own", "pos", "k.h1", "k.h2").withColumn("shard", shard)
+    # one row for each shard; a line of a third of all documents crowds one, which then has many pieces
+    pieces = lines.groupBy("shard").agg(F.ceil(F.count("*") / TASK_LINES).alias("pieces")).join(filters.select("shard"), "shard", "left_semi")
+    pieces = stored(pieces, "pieces")
+    asked = lines.join(pieces, "shard").withColumn("piece", F.pmod(F.xxhash64("doc_id", "pos"), "pieces")).drop("pieces")
+    held = filters.join(pieces, "shard").select("shard", "buckets", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"))
+    both = asked.unionByName(held, allowMissingColumns=True).select("doc_id", "own", "pos", "h1", "h2", "shard", "piece", "buckets")
+    n = max(int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces.agg(F.sum("pieces")).first()[0] or 1)
+    dealt = both.repartition(n, "shard", "piece").sortWithinPartitions("shard", "piece", F.col("buckets").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            raw, hits = batch.column(7), [np.zeros(0, np.int64)]
+            h1, h2 = (pc.fill_null(batch.column(k), 0).to_numpy(zero_copy_only=False) for k in (3, 4))
+            begins = np.flatnonzero(raw.is_valid().to_numpy(zero_copy_only=False))
+            for a, b in zip([0, *begins], [*begins, batch.num_rows], strict=True):
+                if raw[a].is_valid if a < b else False:
+                    now, a = CuckooFilter.parse(raw[a].as_py()), a + 1
+                if a < b:
+                    hits.append(a + np.flatnonzero(now.contains(h1[a:b], h2[a:b])))
+            yield batch.select([0, 1, 2, 3, 4]).take(pa.array(np.concatenate(hits)))
+
+    kind = dict(each.dtypes)["doc_id"]
+    return dealt.mapInArrow(run, f"doc_id {kind}, own bigint, pos int, h1 bigint, h2 bigint")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, broadcast_bytes: int = 64 << 20, index: LineIndex | None = None) -> DataFrame:
@@ -235,14 +271,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, broadcast_bytes: int = 64
     ship(docs.sparkSession)
     lines = lines_of(docs, min_chars)
     if index is None:
-        index = LineIndex.of_lines(lines, min_chars)
+        index = LineIndex.of_postings(postings_of(lines), min_chars)
     shared = index.shared.select("h1", "h2", "first_doc")
     maybe = _suspects(lines, index.filters, index.shards, broadcast_bytes)
     # a hot line's rows are split by adaptive execution: this join has no order to keep
     leaving = maybe.join(shared, ["h1", "h2"]).where("doc_id > first_doc")
-    by_doc, dropped, split, kept, n_lines, n_dropped = free_name(docs, "__doc", "__dropped", "__split", "__kept", "n_lines", "n_dropped")
-    gone = leaving.groupBy(F.col("doc_id").alias(by_doc)).agg(F.collect_set("pos").alias(dropped))
-    whole = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone[by_doc], "left").withColumn(split, F.split(F.coalesce("text", F.lit("")), "\n"))
+    by_doc, by_text, dropped, split, kept, n_lines, n_dropped = free_name(docs, "__doc", "__own", "__dropped", "__split", "__kept", "n_lines", "n_dropped")
+    # rows of one doc_id and one text have their lines at the same places
+    gone = leaving.groupBy(F.col("doc_id").alias(by_doc), F.col("own").alias(by_text)).agg(F.collect_set("pos").alias(dropped))
+    whole = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"] == gone[by_doc]) & (F.xxhash64(docs["text"]) == gone[by_text]), "left").withColumn(split, F.split(F.coalesce("text", F.lit("")), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(dropped))
     rest = F.array_join(F.transform(stay, lambda i: F.get(F.col(split), i)), "\n")
     out = whole.withColumn(kept, F.when(F.col(dropped).isNull(), F.col("text")).otherwise(rest))

@@ -49,6 +49,26 @@ def test_without_broadcast_the_result_is_the_same(spark):
     assert rows_of(ld.digests(docs)) == brute(rows)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 26, 0])
+def test_texts_that_share_a_doc_id_and_very_long_and_frequent_lines(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(ld, "TASK_LINES", 7)
+    rows = [("b", "only once, far down\nthe shared line here\nx"), ("b", "the shared line here\nonly once, far down here"), ("a", "THE SHARED LINE HERE \ncompletely own line"), ("b", "the shared line here\nonly once, far down here")]
+    rows += [(f"c{i}", f"the shared line here\nown line of {i}") for i in range(60)] + [(None, "the shared line here"), ("d", None), ("e", "")]
+    rows += [("f", "y" * 300_000 + "\n" + "\n".join(f"line {i} of many" for i in range(9_000))), ("g", "y" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    out = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in ld.dedup_lines(docs, broadcast_bytes=broadcast_bytes).collect()]
+    assert sorted(out, key=str) == brute(rows)
+
+
+def test_edits_with_repeated_rows(spark):
+    a = spark.createDataFrame([(3, "a line of some length"), (3, "a line of some length")], "doc_id long, text string")
+    b = spark.createDataFrame([(5, "a line of some length")], "doc_id long, text string")
+    more = ld.LineIndex.build(a, shards=1).insert(b)
+    assert [(r.n_docs, r.first_doc) for r in more.shared.collect()] == [(2, 3)]
+    assert {(r.doc_id, r.n_dropped) for r in ld.dedup_lines(a.union(b), index=more).collect()} == {(3, 0), (5, 1)}
+    assert more.delete(b).shared.count() == 0
+
+
 def test_edits_are_reversible(spark):
     a = spark.createDataFrame([(1, "a line of some length\nsecond long line"), (2, "a line of some length")], "doc_id long, text string")
     b = spark.createDataFrame([(0, "second long line\nthird long line"), (3, "a line of some length")], "doc_id long, text string")
