@@ -6,8 +6,10 @@ its nearest codewords. A vector visits cells in the order of the multi-sequence
 distance first, and is compared with the vectors that lie there in double precision. How many cells are
 visited is measured, not guessed: vectors are compared with all vectors by brute force, ``PROBES_TRIED`` at
 first and then more, until ``LINKED`` of them have links, and the least power of two, ``FLOOR`` at least, that
-finds ``recall`` of their links is taken. Where a quarter of the vectors shows too few links, the recall is
-missed, or the cells hold as many vectors as there are, all vectors are compared with all.
+finds ``recall`` of their links is taken. Where links are so rare that ``MOST_PROBES`` vectors show too few, each
+vector of the sample gets a neighbour made at the least cosine that links, in a random direction, and the cells
+are those that find ``recall`` of these. Where the vectors are few, the recall is missed, or the cells hold as many
+vectors as there are, all vectors are compared with all.
 
 Equal vectors collapse to one representative before the search and count with their number after it. Links are
 counted inside blocks of at most ``BLOCK`` times ``BLOCK`` comparisons, never written as pairs: a block returns
@@ -16,8 +18,8 @@ finds counts for both.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components have no links and are kept;
 vectors are compared with those of the same dimension only; rows that repeat a vec_id are vectors of their
-own; a row without vec_id has no links and a null component; a table without rows gives a table without rows;
-other columns, labels too, are ignored.
+own; a row without vec_id has no links and a null component; vec_id may have any type that has an order; a table
+without rows gives a table without rows; other columns, labels too, are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inquest.llm.common import forest, ship, stored
+from inquest.llm.common import dropped, forest, key_of, ship, stored
 from inquest.llm.components import components
 
 COSINE, RECALL = 0.9, 0.9999
@@ -37,11 +39,13 @@ SAMPLE = 20_000
 PROBES_TRIED = 1024
 #: Vectors with links that a measured recall rests on, at least; the fewest cells visited; the most probes in a round.
 LINKED, FLOOR, ROUND = 300, 4, 8192
+#: Vectors compared with all to see links, at most; beyond that neighbours are made.
+MOST_PROBES = 16_384
 BLOCK = 256
 #: Vectors on a side of a block where all are compared with all.
 EXACT_BLOCK = 4096
 #: Vectors that a cell holds, about; the codebooks' largest size.
-CELL, MOST_CODES = 16, 1024
+CELL, MOST_CODES = 16, 8192
 _SPREAD = 17  # probe counts tried: 2**0 .. 2**(_SPREAD - 1)
 
 
@@ -66,7 +70,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray
     rng = np.random.default_rng(seed)
     codes = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = distances(x, codes).argmin(1)
+        near = np.concatenate([distances(part, codes).argmin(1) for part in np.array_split(x, 1 + len(x) * len(codes) // 4_000_000)])
         sums, n = np.zeros_like(codes), np.bincount(near, minlength=len(codes))
         np.add.at(sums, near, x)
         codes[n > 0] = sums[n > 0] / n[n > 0, None]
@@ -120,13 +124,31 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def needed_visits(reps: DataFrame, index: MultiIndex, dim: int, cosine: float, recall: float) -> int | None:
-    """The least power of two of cells that finds ``recall`` of the links of some vectors; None if none does or too few have links."""
+def made_neighbours(index: MultiIndex, x: np.ndarray, cosine: float, seed: int = 11) -> np.ndarray:
+    """For each level of cells, how many of the vectors made at ``cosine`` from x find their origin only there."""
+    side = np.random.default_rng(seed).standard_normal(x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    y = cosine * x + (1 - cosine * cosine) ** 0.5 * side / np.maximum(np.linalg.norm(side, axis=1), 1e-12)[:, None]
+    counts = np.zeros(_SPREAD + 1, np.int64)
+    for a, b in ((x[i : i + 512], y[i : i + 512]) for i in range(0, len(x), 512)):
+        # a link is found from either side
+        place = np.minimum(index.place(b, index.home(a)), index.place(a, index.home(b)))
+        np.add.at(counts, np.minimum(np.ceil(np.log2(place + 1)).astype(int), _SPREAD), 1)
+    return counts
+
+
+def needed_visits(reps: DataFrame, index: MultiIndex, sample: np.ndarray, cosine: float, recall: float) -> int | None:
+    """The least power of two of cells that finds ``recall`` of the links of some vectors, or of neighbours made
+    from the sample; None if none does or the vectors are few."""
+    dim = sample.shape[1]
     spark = reps.sparkSession
     n = reps.count()
     hashed = F.shiftrightunsigned(F.xxhash64("rep"), 11)
     counts, linked, done, probes = np.zeros(_SPREAD + 1, np.int64), 0, 0, PROBES_TRIED
     while linked < LINKED:
+        if done + probes > MOST_PROBES:
+            counts = made_neighbours(index, sample[:4096], cosine)
+            break
         if 4 * (done + probes) > n:
             return None  # comparing all is hardly more work
         low, high = (int(x / n * (1 << 53)) for x in (done, done + probes))
@@ -203,8 +225,9 @@ def search(reps: DataFrame, dim: int, cosine: float, recall: float) -> DataFrame
     sample = reps.where(F.shiftrightunsigned(F.xxhash64(F.lit(3), "rep"), 11) < int(share * (1 << 53))).select("rep", "unit").limit(SAMPLE).toArrow().sort_by("rep")
     if not sample.num_rows:
         sample = reps.select("rep", "unit").orderBy("rep").limit(1).toArrow()
-    index = MultiIndex(_matrix(sample["unit"].combine_chunks(), dim), n)
-    cells = needed_visits(reps, index, dim, cosine, recall)
+    vectors = _matrix(sample["unit"].combine_chunks(), dim)
+    index = MultiIndex(vectors, n)
+    cells = needed_visits(reps, index, vectors, cosine, recall)
     exact = cells is None or cells * CELL >= n
     most = EXACT_BLOCK if exact else BLOCK
     sent = spark.sparkContext.broadcast(index)  # two codebooks of at most MOST_CODES rows
@@ -236,23 +259,29 @@ def search(reps: DataFrame, dim: int, cosine: float, recall: float) -> DataFrame
 
 def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id -> vec_id, n_links, component_id, one row for each row of vectors."""
-    ship(vectors.sparkSession)
-    units = stored(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(_units, "vec_id bigint, unit binary").select("vec_id", "unit", F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(7), "unit").alias("h2")), "units")
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)["vec_id"]
+    ship(spark)
+    units = stored(vectors.select("vec_id", "embedding").mapInArrow(_units, f"vec_id {kind}, unit binary").select("vec_id", "unit", *key_of("unit")), "units")
     valid = units.where("unit IS NOT NULL AND vec_id IS NOT NULL")
-    copies = stored(valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-copies")
-    firsts = valid.join(copies, ["h1", "h2"]).where("vec_id = rep").dropDuplicates(["h1", "h2"]).select("rep", "copies", "unit")
+    copies = valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    # a number for each different vector, written so that it stays
+    copies = stored(copies.withColumn("rep", F.monotonically_increasing_id()), "vector-copies")
+    firsts = valid.join(copies, ["h1", "h2"]).where("vec_id = first_id").dropDuplicates(["rep"]).select("rep", "copies", "unit")
     firsts = stored(firsts, "vectors")
     found = None
     for row in firsts.select(F.length("unit").alias("bytes")).distinct().collect():  # the dimensions in use
         part = search(firsts.where(F.length("unit") == row["bytes"]), row["bytes"] // 8, cosine, recall)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").cast("bigint").alias("component_id"))
+        return vectors.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     found = stored(found, "links")
     labels = components(found.where("kind = 1").select("a", "b"), "vector-groups")
     sums = found.where("kind = 0").groupBy(F.col("a").alias("of")).agg(F.sum("b").alias("n"))
     named = copies.join(sums, F.col("rep") == F.col("of"), "left").join(labels, F.col("rep") == F.col("node"), "left")
-    named = stored(named.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-classes")
+    named = stored(named.select("h1", "h2", "first_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "vector-classes")
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = stored(named.join(least, "component").drop("component", "first_id"), "vector-classes")
+    dropped(spark, firsts, found, labels)
     out = units.join(named, (units["h1"] == named["h1"]) & (units["h2"] == named["h2"]) & units["unit"].isNotNull() & units["vec_id"].isNotNull(), "left")
     return out.select(units["vec_id"], F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", units["vec_id"]).alias("component_id"))
 

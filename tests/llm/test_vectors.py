@@ -97,3 +97,31 @@ def test_cells_rest_on_enough_links(spark, monkeypatch):
         got = {r.vec_id: r.n_links for r in vd.membership(table(spark, rows)).collect()}
         assert sum(got.values()) >= 0.99 * sum(x[0] for x in want.values())
     assert asked[0] is None and asked[1] >= vd.FLOOR
+
+
+def test_string_ids_and_other_columns(spark):
+    rows = make(300)
+    want = brute(rows)
+    docs = spark.createDataFrame([(f"v{i:04d}", v, 1, 2) for i, v, _ in rows], "vec_id string, embedding array<float>, n_links int, unit int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vd.membership(docs).collect()}
+    assert got == {f"v{i:04d}": (n, f"v{c:04d}") for i, (n, c, _) in want.items()}
+
+
+def test_made_neighbours_measure_recall_where_links_are_rare(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(300, 16))
+    side -= (side * x[:300]).sum(1)[:, None] * x[:300]
+    x[2000:2300] = 0.93 * x[:300] + (1 - 0.93**2) ** 0.5 * side / np.linalg.norm(side, axis=1)[:, None]
+    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(x)]
+    cells = []
+    for name, value in (("MOST_PROBES", 0), ("CELL", 4)):
+        monkeypatch.setattr(vd, name, value)
+    monkeypatch.setattr(vd, "needed_visits", lambda *a, f=vd.needed_visits: cells.append(f(*a)) or cells[-1])
+    out = {r.vec_id: r.n_links for r in vd.link_vectors(table(spark, rows), recall=0.99).collect()}
+    want = brute(rows)
+    assert cells[0] is not None and cells[0] * 4 < 4000  # not all with all
+    assert sum(out.values()) >= 0.97 * sum(n for n, *_ in want.values()) and all(out[i] <= want[i][0] for i in want)
+    index = vd.MultiIndex(x, 4000)
+    assert vd.made_neighbours(index, x[:500], 0.9).sum() == 500 and vd.made_neighbours(index, x[:500], 0.9999)[0] > 350
