@@ -4,11 +4,14 @@ Candidates are found with one regular expression, validated (Luhn check for card
 IBANs, calendar for dates, ranges for addresses and social security numbers) and replaced by a keyed
 permutation within their format: an alternating Feistel network over Z_a x Z_b, whose round function is SHA-256
 of key, kind, round and the other half. Card numbers stay Luhn-valid card numbers of the same length and
-spacing, dates stay dates between 1900 and 2099, addresses stay addresses. As it is a permutation under one
-key, equal values have equal pseudonyms in all documents and different values different ones. The local parts
-of mail addresses and hexadecimal secrets aren't numbers; they become keyed digests of fitting form.
+spacing, dates stay dates in the order they were written in (those from 1900 to 2099 stay in these years, others
+stay others, between the years 1 and 9999), addresses stay addresses, IBANs keep their country and have digits and
+letters where they had them. As it is a permutation under one key, equal values have equal pseudonyms in all
+documents and different values different ones. The local parts of mail addresses and hexadecimal secrets aren't
+numbers; they become keyed digests of fitting form. Who has the key can turn pseudonyms back: callers give it.
 
-Whatever fails validation is left as it is. The operator is one pass without a shuffle.
+Whatever fails validation is left as it is. The operator is one pass without a shuffle. No repetition in the
+expression is unbounded over groups, so no text, however long, exhausts a stack.
 
 Cases: null texts stay null with 0 found; empty texts stay empty; repeated rows get equal results; a table without
 rows gives a table without rows; other columns pass through whatever their names. Texts are read whole.
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from inquest.llm.common import free_name
 
 ROUNDS = 8
-_EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"
+_EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,24}"  # a name has at most 127 labels
 _SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 _ISO = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
@@ -38,7 +41,7 @@ _IBAN_LENGTHS = {
 _IBAN_KNOWN = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{n // 4 - 1}}}" + (f" ?[0-9A-Z]{{{n % 4}}}" if n % 4 else "") + "(?![0-9A-Za-z])" for n, c in _IBAN_LENGTHS.items())
 _IBAN = rf"(?<![0-9A-Za-z])(?:{_IBAN_KNOWN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?(?![0-9A-Za-z]))"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_CARD = r"(?<![0-9A-Za-z])[0-9]{4}([ -])[0-9]{4}\g[0-9]{4}\g[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"
+_CARD = r"(?<![0-9A-Za-z])[0-9]{4}([ -])[0-9]{4}\g[0-9]{4}\g[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])3[47][0-9]{2}([ -])[0-9]{6}\g[0-9]{5}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"
 _PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\g[0-9]{4}(?![0-9])"
 KINDS = ("email", "secret", "ip", "date", "iban", "ssn", "card", "phone")
 
@@ -110,11 +113,36 @@ def permuted_digits(key: str, kind: str, digits: Column) -> Column:
     return _let(digits, cut)
 
 
-def _refilled(shape: Column, digits: Column) -> Column:
-    """shape with its digits replaced one after another."""
+def permuted_code(key: str, kind: str, code: Column) -> Column:
+    """A permutation of the strings of 2 to 32 digits and capitals that leaves digits and capitals where they are."""
+
+    def moved(half: Column, other: Column, turn: Column) -> Column:
+        digest = F.sha2(F.concat(F.lit(f"{key}|{kind}|"), turn.cast("string"), F.lit("|"), other).cast("binary"), 256)
+
+        def shifted(g: Column) -> Column:
+            def char(c: Column, i: Column) -> Column:
+                by = _number(F.conv(F.substr(g, i * 4 + 1, F.lit(4)), 16, 10))
+                number = F.char(48 + (F.ascii(c) - 48 + by) % 10)
+                return F.when(c.rlike("^[0-9]$"), number).otherwise(F.char(65 + (F.ascii(c) - 65 + by) % 26))
+
+            return F.array_join(F.transform(F.split(half, "(?!^)(?!$)"), char), "")
+
+        return _let(digest, shifted)
+
+    def step(s: Column, turn: Column) -> Column:
+        odd = F.struct(moved(s["a"], s["b"], turn).alias("a"), s["b"].alias("b"))
+        return F.when(turn % 2 == 1, odd).otherwise(F.struct(s["a"].alias("a"), moved(s["b"], s["a"], turn).alias("b")))
+
+    k = F.floor(F.length(code) / 2).cast("int")
+    start = F.struct(F.left(code, k).alias("a"), F.right(code, F.length(code) - k).alias("b"))
+    return _let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step), lambda s: F.concat(s["a"], s["b"]))
+
+
+def _refilled(shape: Column, digits: Column, filled: str = "^[0-9]$") -> Column:
+    """shape with its digits, or what else is filled, replaced one after another."""
 
     def step(s: Column, c: Column) -> Column:
-        digit = c.rlike("^[0-9]$")
+        digit = c.rlike(filled)
         return F.struct(F.concat(s["o"], F.when(digit, F.substr(digits, s["p"], F.lit(1))).otherwise(c)).alias("o"), (s["p"] + digit.cast("int")).alias("p"))
 
     start = F.struct(F.lit("").alias("o"), F.lit(1).alias("p"))
@@ -145,8 +173,19 @@ def _date_parts(m: Column) -> Column:
 def _valid_date(p: Column) -> Column:
     leap = ((p["y"] % 4 == 0) & (p["y"] % 100 != 0)) | (p["y"] % 400 == 0)
     most = F.when(p["m"].isin(4, 6, 9, 11), 30).when(p["m"] == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    # 73,000 days from 1900-01-01
-    return p["y"].between(1900, 2099) & p["m"].between(1, 12) & (p["d"] >= 1) & (p["d"] <= most) & ((p["y"] < 2099) | (p["m"] < 11) | ((p["m"] == 11) & (p["d"] <= 12)))
+    return (p["y"] >= 1) & p["m"].between(1, 12) & (p["d"] >= 1) & (p["d"] <= most)
+
+
+def permuted_day(key: str, day: Column) -> Column:
+    """A permutation of the 17 * 4,297 days from 1900 to 2099, and one of the 170 * 21,053 other days of four-digit years."""
+    at = lambda text: F.lit(text).cast("date")
+    first, century, after, before = at("0001-01-01"), at("1900-01-01"), at("2100-01-01"), 693_595  # days before 1900
+    near = feistel(key, "date", F.floor(F.datediff(day, century) / 4297), F.datediff(day, century) % 4297, F.lit(17), F.lit(4297))
+    number = F.when(day < century, F.datediff(day, first)).otherwise(F.datediff(day, after) + before)
+    far = _let(number, lambda n: feistel(key, "far date", F.floor(n / 21053), n % 21053, F.lit(170), F.lit(21053)))
+    there = lambda s: (s["a"] * 21053 + s["b"]).cast("int")
+    far = _let(far, lambda s: F.when(there(s) < before, F.date_add(first, there(s))).otherwise(F.date_add(after, there(s) - before)))
+    return F.when((day >= century) & (day < after), _let(near, lambda s: F.date_add(century, (s["a"] * 4297 + s["b"]).cast("int")))).otherwise(far)
 
 
 def kind_of(m: Column) -> Column:
@@ -161,7 +200,7 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}$"), F.when(_let(_date_parts(m), _valid_date), "date"))
         .when(m.rlike("^[A-Z]"), F.when(_iban_rest(F.replace(m, F.lit(" "), F.lit(""))) == 1, "iban"))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(ssn, "ssn"))
-        .when(m.rlike("^[0-9]{13,19}$|^[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}$"), F.when(_luhn(digits), "card"))
+        .when(m.rlike("^[0-9]{13,19}$|^[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}$|^3[47][0-9]{2}([ -])[0-9]{6}\\2[0-9]{5}$"), F.when(_luhn(digits), "card"))
         .otherwise("phone")
     )
 
@@ -178,22 +217,16 @@ def pseudonym(key: str, m: Column, kind: Column) -> Column:
     )
 
     def date(p: Column) -> Column:
-        day = F.datediff(F.make_date(p["y"], p["m"], p["d"]), F.lit("1900-01-01").cast("date"))
-        moved = _let(feistel(key, "date", F.floor(day / 200), day % 200, F.lit(365), F.lit(200)), lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["a"] * 200 + s["b"]).cast("int")))
+        moved = _let(F.make_date(p["y"], p["m"], p["d"]), lambda day: permuted_day(key, day))
         dot = F.regexp_extract(m, "[-/.]", 0)
         part = lambda d, *fields: F.concat(*(x for f in fields for x in (dot, F.date_format(d, f)))).substr(2, 10)
         turned = lambda d: F.when(p["form"] == 0, part(d, "yyyy", "MM", "dd")).when(p["form"] == 1, part(d, "MM", "dd", "yyyy")).otherwise(part(d, "dd", "MM", "yyyy"))
         return _let(moved, turned)
 
-    def iban(_: Column) -> Column:
-        code = F.replace(m, F.lit(" "), F.lit(""))
-        tail = F.substr(code, F.lit(5))
-        own = _digits(tail)
-        # at most eighteen digits move; longer accounts keep the digits before them
-        head = F.left(own, F.greatest(F.length(own) - 18, F.lit(0)))
-        fresh = F.concat(head, F.when(F.length(own) >= 2, permuted_digits(key, "iban", F.right(own, F.least(F.length(own), F.lit(18))))).otherwise(own))
-        body = _refilled(tail, fresh)
-        return _let(body, lambda b: _refilled(m, F.concat(F.lpad((98 - _iban_rest(F.concat(F.left(code, F.lit(2)), F.lit("00"), b))).cast("string"), 2, "0"), _digits(b))))
+    def iban(code: Column) -> Column:
+        land = F.left(code, F.lit(2))
+        check = lambda b: F.lpad((98 - _iban_rest(F.concat(land, F.lit("00"), b))).cast("string"), 2, "0")
+        return _let(permuted_code(key, "iban", F.substr(code, F.lit(5))), lambda b: _refilled(m, F.concat(land, check(b), b), "^[0-9A-Z]$"))
 
     ssn = _let(
         feistel(key, "ssn", _ssn_area(F.left(m, F.lit(3)).cast("int")), (F.substring(m, 5, 2).cast("int") - 1) * 9999 + F.right(m, F.lit(4)).cast("int") - 1, F.lit(898), F.lit(99 * 9999)),
@@ -215,7 +248,7 @@ def pseudonym(key: str, m: Column, kind: Column) -> Column:
         .when(kind == "secret", secret)
         .when(kind == "ip", ip)
         .when(kind == "date", _let(_date_parts(m), date))
-        .when(kind == "iban", iban(m))
+        .when(kind == "iban", _let(F.replace(m, F.lit(" "), F.lit("")), iban))
         .when(kind == "ssn", ssn)
         .when(kind == "card", _let(_digits(m), card))
         .otherwise(_let(_digits(m), phone))
@@ -242,7 +275,7 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return marked.select(*(fresh.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns), counts.alias(pii))
 
 
-def report(docs: DataFrame, key: str = "inquest-demonstration-key") -> DataFrame:
+def report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, the number replaced of each kind, n_replaced, and the text with pseudonyms."""
     out = pseudonymised(docs.select("doc_id", "text"), key)
     counts = [F.col("pii")[kind].alias(f"n_{kind}") for kind in KINDS]
