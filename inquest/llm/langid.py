@@ -3,13 +3,16 @@
 Features are character 1-, 2- and 3-grams of the lower-cased text, hashed to ``2**BITS`` columns, with
 1 + log(tf) times idf, scaled to length 1. Document frequencies are summed over every training document. The
 model is fitted by follow-the-regularised-leader with elastic-net penalties (per-coordinate rates; the L1 part
-leaves most weights exactly 0) on at most ``SAMPLE`` training documents, drawn by a hash of the row, and a temperature
-is then fitted on a tenth of that sample which the fit did not see. Prediction reads whole texts.
+leaves most weights exactly 0) on at most ``SAMPLE`` training documents, drawn by a hash of the row with as many from
+each language as there are, up to an equal share, so that rare languages are learned. Only their features reach
+the driver, at most ``2**BITS`` columns each however long the text. A temperature is then fitted on a tenth of that
+sample which the fit did not see. Prediction reads whole texts.
 
 Cases: a null text or one without a letter is ``und`` with score 0; documents without lang are predicted but
 never learned from; with no training document at all every text is ``und``; with one language only, that
 language is predicted; ties go to the first language in code-point order; repeated rows each get their result;
-a table without rows gives a table without rows; other columns are ignored.
+doc_id may have any type; a table without rows gives a table without rows; other columns are ignored whatever
+their names.
 """
 
 from __future__ import annotations
@@ -141,23 +144,46 @@ class LanguageModel:
         return self.langs[best], float(p[best])
 
 
+def quotas(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """The share of each language's documents to draw: all of the rare ones, an equal number of the others."""
+    left, out = 0.9 * sample, {}
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(counts) - k))
+        out[lang] = take / n
+        left -= take
+    return out
+
+
+def _drawn_features(known: DataFrame, share: Column, sample: int) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """Columns, 1 + log(tf) and language of a sample of rows that have a letter, in the order of their draw."""
+    drawn = known.where(F.shiftrightunsigned("draw", 11) < share * float(1 << 53))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = [(d, lang, *features(t)) for d, lang, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if _LETTER.search(t)]
+            arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())]
+            arrays += [pa.array([r[k].astype(t).tobytes() for r in rows], pa.binary()) for k, t in ((2, np.uint16), (3, np.float32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["draw", "lang", "at", "tf"])
+
+    made = drawn.select("draw", "lang", "text").mapInArrow(run, "draw bigint, lang string, at binary, tf binary").orderBy("draw").limit(sample)
+    rows = sorted((r["draw"], r["lang"], bytes(r["at"]), bytes(r["tf"])) for r in made.toLocalIterator())
+    return [(np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(tf, np.float32).astype(float), lang) for _, lang, at, tf in rows]
+
+
 def fit(docs: DataFrame, training: Column, sample: int = SAMPLE) -> LanguageModel:
     """Learn from text and lang of the rows where ``training`` holds and lang is not null."""
     ship(docs.sparkSession)
-    known = docs.where(training & F.col("lang").isNotNull()).select("text", "lang")
+    known = docs.where(training & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("draw"))
     df, total = document_frequencies(known)
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    # a share of hash values that brings 0.9 * sample rows: copies of a text differ in their ids
-    share = min(1.0, 0.9 * sample / max(1, total))
-    drawn = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("draw"))
-    drawn = drawn.where(F.shiftrightunsigned("draw", 11) < int(share * (1 << 53))).orderBy("draw").limit(sample)
-    rows = sorted(((r["draw"], r["lang"], r["text"]) for r in drawn.toLocalIterator()))
-    rows = [(lang, text) for _, lang, text in rows if _LETTER.search(text)]
-    langs = sorted({lang for lang, _ in rows})
+    known = known.where("text IS NOT NULL")
+    # copies of a text differ in their ids, so a hash of both draws them apart; one row for each language
+    share = quotas({r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}, sample)
+    drawn = _drawn_features(known, F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")], sample) if share else []
+    langs = sorted({lang for *_, lang in drawn})
     model = Ftrl(max(1, len(langs)))
     seen = []
-    for lang, text in rows:
-        at, tf = features(text)
+    for at, tf, lang in drawn:
         x = tf * idf[at]
         seen.append((at, x / np.sqrt(x @ x), langs.index(lang)))
     held = seen[::10] if len(seen) >= 50 else []

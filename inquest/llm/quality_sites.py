@@ -4,7 +4,8 @@ A document classifier (logistic regression over ten counts of the text, fitted o
 documents) gives each document a probability. The documents of a host, and of a path below it, are evidence
 about each other: a host's share of good documents is a Beta posterior around the global share, a path's one
 around its host's, and how strongly small groups shrink is estimated from the groups themselves by the method
-of moments. A document's own evidence is taken out of its groups, then
+of moments. A path's documents are no evidence for its own prior, and a document's none for its path, so a
+host's share is that of its other paths and a path's that of its other documents; then
 
     logit(quality) = logit(document) + logit(path's share) - logit(global share).
 
@@ -12,8 +13,9 @@ Sums per host and path combine before the shuffle, so one host with a third of a
 
 Cases: null hosts and null paths are groups of their own; null and empty texts have all counts 0; labels that
 are null, or whose document is missing, are not learned from; a document with several labels is learned from
-once for each; with labels of one kind or none the classifier is the labels' share (0.5 without labels); a table
-without rows gives a table without rows; other columns are ignored.
+once for each; rows that repeat a doc_id are documents of their own, each with that id's labels; with labels of
+one kind or none the classifier is the labels' share (0.5 without labels); texts are read whole however long; a
+table without rows gives a table without rows; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -81,8 +83,10 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample
     counted = stored(with_stats(keyed, ["doc_id", "host", "path"]).select("doc_id", "host", "path", *(c.alias(n) for n, c in _inputs().items())), "site-counts")
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("label"))
     share = min(1.0, 0.9 * sample / max(1, known.count()))
-    drawn = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < int(share * (1 << 53))).limit(sample)
-    rows = counted.join(drawn, "doc_id").select("doc_id", "label", *_INPUTS).limit(2 * sample).toPandas().sort_values(["doc_id", "label"])
+    draw = F.xxhash64("doc_id")
+    drawn = known.where(F.shiftrightunsigned(draw, 11) < int(share * (1 << 53)))
+    # in the order of the draw, should ids repeat so often that the share is more than the sample
+    rows = counted.join(drawn, "doc_id").select(draw.alias("draw"), "label", *_INPUTS).orderBy("draw", "label", *_INPUTS).limit(sample).toPandas()
     w = fit_classifier(rows[[*_INPUTS]].to_numpy(float), rows["label"].to_numpy(float))
     odds = sum((F.col(c) * float(w[k]) for k, c in enumerate(_INPUTS)), F.lit(float(w[-1])))
     judged = stored(counted.select("doc_id", "host", "path", (1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0))))).alias("document")), "site-documents")
@@ -92,11 +96,12 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample
     hosts = paths.groupBy(F.col("host").alias("host_")).agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     k_host = _strength(hosts, F.lit(centre), "host_n", "host_good")
     groups = paths.join(hosts, F.col("host").eqNullSafe(F.col("host_")))
-    k_path = _strength(groups, (k_host * F.lit(centre) + F.col("host_good")) / (k_host + F.col("host_n")))
+    others = (k_host * F.lit(centre) + F.col("host_good") - F.col("good")) / (k_host + F.col("host_n") - F.col("n"))
+    k_path = _strength(groups, others)
     groups = groups.select(F.col("host_"), F.col("path").alias("path_"), "n", "good", "host_n", "host_good")
     both = judged.join(groups, F.col("host").eqNullSafe(F.col("host_")) & F.col("path").eqNullSafe(F.col("path_")))
-    # the document's own evidence is no evidence about its neighbours
-    host_share = (k_host * centre + F.col("host_good") - F.col("document")) / (k_host + F.col("host_n") - 1)
+    # what a path holds is no evidence about its host's other paths, nor a document about its neighbours
+    host_share = (k_host * centre + F.col("host_good") - F.col("good")) / (k_host + F.col("host_n") - F.col("n"))
     path_share = (k_path * host_share + F.col("good") - F.col("document")) / (k_path + F.col("n") - 1)
     out = both.withColumn("path_share", path_share).withColumn("quality", 1 / (1 + F.exp(-(_logit(F.col("document")) + _logit(F.col("path_share")) - _logit(F.lit(centre))))))
     return out.select("doc_id", "host", "path", "document", "path_share", "quality", (F.col("quality") >= threshold).alias("kept"))
