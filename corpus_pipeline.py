@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inquest.llm import bpe, langid, line_dedup, mixing, near_dedup
-from inquest.llm.common import shared_dir
+from inquest.llm.common import dropped, shared_dir
 
 #: A document goes if its language can't be told or is less sure than this.
 SURE = 0.4
@@ -52,8 +52,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            dropped(spark, before)
+        docs = before = spark.read.parquet(f"{folder}/{name}")
     return docs
