@@ -4,7 +4,7 @@ an Arrow backend answers batches of documents in Python workers."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -130,14 +130,19 @@ class ArrowBackend:
 
 
 def http_backend(url: str, name: str = "http", timeout: float = 60.0, **options) -> ArrowBackend:
-    """A model behind an HTTP address that takes {call, documents} as JSON and returns {answers}."""
+    """A model behind an HTTP address that takes {call, documents} as JSON and returns {answers}.
+
+    A document is a string, or {"base64": ...} where it is bytes, as images are.
+    """
 
     def answer(call: ModelCall, documents: Sequence[Sequence[str]]) -> list:
+        import base64
         import dataclasses
         import json
         import urllib.request
 
-        body = json.dumps({"call": dataclasses.asdict(call), "documents": [list(d) for d in documents]}).encode()
+        plain = lambda x: {"base64": base64.b64encode(x).decode()} if isinstance(x, (bytes, bytearray)) else x
+        body = json.dumps({"call": dataclasses.asdict(call), "documents": [list(map(plain, d)) for d in documents]}).encode()
         with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as reply:
             return json.load(reply)["answers"]
 
@@ -202,8 +207,3 @@ def asking(backend: ModelBackend, call: ModelCall):
         return pd.Series(out, dtype=object)
 
     return run
-
-
-def batches(items: Sequence, size: int) -> Iterator[Sequence]:
-    for i in range(0, len(items), size):
-        yield items[i : i + size]

@@ -56,6 +56,13 @@ SHAPES: dict[str, tuple[Callable[[], pa.Table], ArrowBackend, str, int]] = {
     "if or if with a hint": (_rows, planted("03", "234"), f"SELECT n.id FROM notes n WHERE {_IF} OR AI.IF(PROMPT('long: {{0}}', n.said), {{'selectivity': 0.9}})", 9),
     "plain or if or if": (lambda: _rows(wide=[True, False, None, True, False, True]), planted("4", "1"), f"SELECT n.id FROM notes n WHERE n.wide OR {_IF} OR {_LONG}", 5),
     "copies": (lambda: pa.table({"id": list("abcdef"), "said": [f"b{i}" for i in (0, 1, 0, 2, 1, 0)]}), planted("02"), f"SELECT n.id FROM notes n WHERE {_IF}", 3),
+    "derived, limit 3, then a test": (_rows, planted(), f"SELECT t.id FROM (SELECT n.id, {_TONE} AS tone FROM notes n LIMIT 3) t WHERE t.tone = 'a'", 3),
+    "concat of a label, limit 2": (_rows, planted(), f"SELECT n.id, CONCAT({_TONE}, '!') AS t FROM notes n LIMIT 2", 2),
+    "distinct, test above": (lambda: _rows(rank=[5, 5, 4, 4, 3, 3]), planted("1234"), f"SELECT * FROM (SELECT DISTINCT n.rank FROM notes n WHERE {_IF}) t WHERE t.rank > 3", 3),
+    "case of two tests": (lambda: _rows(wide=[True, False, None, True, False, True]), planted(), "SELECT n.id, CASE WHEN n.id <> 'r0' AND n.wide THEN AI.MAP(n.said, 'shorten') END AS s FROM notes n", 2),
+    "later branches and nested case": (lambda: _rows(rank=[1, 2, 3, 4, 5, 6]), planted("0"), f"SELECT n.id, CASE WHEN n.rank > 4 THEN 'x' WHEN n.rank > 2 THEN {_TONE} ELSE CASE WHEN n.rank > 1 THEN AI.MAP(n.said, 'shorten') END END AS t FROM notes n", 3),
+    "limit 0": (_rows, planted("1245"), f"SELECT n.id, {_TONE} AS t FROM notes n WHERE {_IF} LIMIT 0", 0),
+    "plain or exists of a pair": (lambda: _rows(wide=[True, False, None, True, False, True]), planted("12"), "SELECT n.id FROM notes n WHERE n.wide OR EXISTS (SELECT 1 FROM goods g WHERE g.nr = 1 AND AI.IF(PROMPT('sort: {0} {1}', n.said, g.code)))", 3),
     "extract like": (lambda: pa.table({"id": list("abcde"), "said": ["until 2027", "May 2026", "2027 it is", "no year", "from 2027 on"]}), planted(), "SELECT n.id FROM notes n WHERE AI.EXTRACT(n.said, {'w': 'which year'})['w'] LIKE '%2027%'", 3),
     "copies in a join": (lambda: pa.table({"id": list("abcdef"), "said": [f"b{i}" for i in (0, 1, 0, 2, 1, 0)], "hotel": [1, 1, 1, 2, 2, 2]}), planted("02"), "SELECT a.id, b.id AS other FROM notes a JOIN notes b ON a.hotel = b.hotel AND AI.IF(PROMPT('sort: {0} {1}', a.said, b.said))", 9),
     "order by id limit 5": (_rows, planted(), "SELECT n.id, AI.EXTRACT(n.said, {'w': 'which word'})['w'] AS w FROM notes n ORDER BY n.id LIMIT 5", 5),

@@ -6,16 +6,19 @@ that the deterministic model stands for, written out independently of the engine
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inquest.errors import CompileError, RefusalError
 from inquest.operators import ask as ops
 from inquest.operators.backends import ArrowBackend, ExprBackend
 from inquest.operators.calls import ModelCall
 from inquest.plans.session import AiSession
+from inquest.sources.shared import shared_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -209,6 +212,8 @@ TEXTS: dict[str, Callable[[Asked], str]] = {
     "ai_bool_or": lambda m: f"SELECT conv_id, BOOL_OR({m.IF('is it a question', 'text')}) AS asked, MIN(turn) AS first FROM conversations GROUP BY conv_id",
     "ai_distinct_on": lambda m: f"SELECT DISTINCT ON (source) source, doc_id, {m.SC('how clear is', 'text')} AS s FROM documents ORDER BY source, s DESC, doc_id",
     "ai_limit_offset": lambda m: f"SELECT doc_id FROM documents WHERE {m.IF('is it formal', 'text')} ORDER BY doc_id DESC LIMIT 7 OFFSET 3",
+    "ai_case_branches": lambda m: f"SELECT doc_id, CASE WHEN n_chars > 3000 THEN 'long' WHEN {m.IF('is it formal', 'text')} THEN {m.CL('tone of', 'text', _TONES)} ELSE CASE WHEN lang = 'en' THEN {m.MP('name its colour', 'text')} ELSE 'other' END END AS c FROM documents",
+    "ai_distinct_above": lambda m: f"SELECT * FROM (SELECT DISTINCT source AS origin FROM documents WHERE {m.IF('is it about travel', 'text')}) t WHERE t.origin > 'b'",
     "ai_group_topk": lambda m: f"SELECT source, COUNT(*) AS n FROM documents WHERE {m.IF('is it about travel', 'text')} GROUP BY source ORDER BY n DESC, source LIMIT 5",
     "ai_literal": lambda m: f"SELECT {m.IF('is it short', chr(39) + 'a word' + chr(39))} AS short, {m.MP('name its colour', chr(39) + 'sea' + chr(39))} AS colour",
     # functions whose spelling or meaning differs
@@ -218,6 +223,9 @@ TEXTS: dict[str, Callable[[Asked], str]] = {
     "int_division": lambda m: f"SELECT p_partkey, CAST({m.pick('p_size / 4', 'p_size // 4')} AS BIGINT) AS quarter, p_size % 4 AS rest, p_retailprice / 4 AS price FROM part",
     "concat_skip_null": lambda m: "SELECT s_suppkey, CONCAT(s_name, NULL, '/', CAST(s_nationkey AS STRING)) AS label, STRPOS(s_name, '#') AS at, SPLIT_PART(s_name, '#', 2) AS number FROM supplier",
     "null_order": lambda m: "SELECT doc_id, place FROM (SELECT d.doc_id, ROW_NUMBER() OVER (ORDER BY l.toxic DESC, d.doc_id) AS place FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) t" if not isinstance(m, Twin) else "SELECT doc_id, place FROM (SELECT d.doc_id, ROW_NUMBER() OVER (ORDER BY l.toxic DESC NULLS FIRST, d.doc_id) AS place FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) t",
+    "numeric_functions": lambda m: "SELECT o_orderkey, ABS(o_totalprice - 150000) AS away, ROUND(LOG10(o_totalprice), 6) AS size, GREATEST(o_custkey, NULL, 100) AS g, COALESCE(NULLIF(o_custkey % 7, 0), -1) AS rest FROM orders",
+    "sum_of_nulls": lambda m: "SELECT lang, SUM(CASE WHEN n_chars < 0 THEN n_chars END) AS s, COUNT(*) AS n FROM documents GROUP BY lang",
+    "window_frames": lambda m: "SELECT o_orderkey, SUM(o_custkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS two, FIRST_VALUE(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first, NTILE(3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS third FROM orders",
     "string_functions": lambda m: "SELECT c_custkey, UPPER(c_mktsegment) AS u, REVERSE(c_name) AS r, LENGTH(c_name) AS n, LEFT(c_name, 3) AS l, RIGHT(c_name, 2) AS e, SUBSTRING(c_name, 2, 4) AS s, NULLIF(c_mktsegment, 'BUILDING') AS x, GREATEST(c_nationkey, 10) AS g, ABS(c_acctbal) AS a FROM customer",
     # relational parity
     "plain_join_agg": lambda m: "SELECT c.c_mktsegment, COUNT(*) AS n, ROUND(SUM(l.l_quantity), 2) AS qty FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey WHERE l.l_returnflag = 'R' GROUP BY c.c_mktsegment",
@@ -238,9 +246,9 @@ def _twin_labels(doc: str, labels: tuple[str, ...]) -> str:
     return Twin._known(f"list_extract({list(labels)}, (({Twin._w(doc)} + 0) % {len(labels)} + 1)::INT)", doc)
 
 
-def session(spark: SparkSession, sf_dir: str, text: str) -> AiSession:
+def session(spark: SparkSession, sf_dir: str, text: str, model: ArrowBackend | None = None) -> AiSession:
     """A session with the tables that a text names."""
-    out = AiSession(spark)
+    out = AiSession(spark, model)
     for name in TABLES:
         if name in text:
             out.register_parquet(name, f"{sf_dir}/{name}.parquet")
@@ -287,6 +295,90 @@ def _ask_fetch_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ai_fetch(docs, ModelCall("if", "is it formal {0}"), ["text"], 2, [F.col("doc_id")], _arrow(), key=["source"]).select("source", "doc_id")
 
 
+#: Queries that are also asked of a model in Python workers, which the planner for such models takes apart.
+MODELLED = (
+    "ai_if_or_chain", "ai_if_and_chain", "ai_if_case", "ai_if_hint", "ai_prompt_multi_column", "ai_score_avg_having", "ai_score_topk", "ai_classify_group", "ai_classify_distinct", "ai_extract_like",
+    "ai_extract_topk", "ai_extract_span", "ai_map_then_classify", "ai_features_unnest", "ai_join_inner_key", "ai_join_full", "ai_join_exists", "ai_join_not_exists", "ai_join_three_way", "ai_in_subquery",
+    "ai_exists_or", "ai_count_threshold", "ai_cte_shared", "ai_except", "ai_window_between", "ai_sum_case", "ai_distinct_on", "ai_limit_offset", "ai_case_branches", "ai_distinct_above",
+)
+
+
+def _modelled(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = TEXTS[name](Asked())
+    return session(spark, sf_dir, text, _arrow()).sql(text).dataframe()
+
+
+# ---- sources and statements
+
+
+def _through(fmt: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, written in another format and registered from there."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size")
+    folder = f"{shared_dir(spark)}/{fmt}-{uuid.uuid4().hex}"
+    with_ = AiSession(spark)
+    if fmt == "json":
+        part.write.json(folder)
+        with_.register_json("part", folder, "p_partkey")
+    elif fmt == "csv":
+        part.write.csv(folder, header=True)
+        with_.register_csv("part", folder, "p_partkey")
+    elif fmt == "orc":
+        part.write.orc(folder)
+        with_.read_format("part", "orc", folder, "p_partkey")
+    else:
+        small = spark.read.parquet(f"{sf_dir}/nation.parquet").toArrow()  # 25 rows
+        given = {"arrow": small, "reader": small.to_reader(), "pandas": small.to_pandas(), "batch": small.combine_chunks().to_batches()[0]}[fmt]
+        with_.register("nation", given, "n_nationkey")
+        return with_.sql("SELECT n_nationkey, n_name, AI.SCORE(PROMPT('how long is {0}', n_name)) AS s FROM nation").dataframe()
+    return with_.sql("SELECT p_partkey, p_size, AI.IF(PROMPT('is it a good name {0}', p_name)) AS good FROM part").dataframe()
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE TABLE AS and VIEW, PREPARE and EXECUTE, DROP."""
+    s = session(spark, sf_dir, "documents")
+    for text in (
+        "CREATE TABLE formal AS SELECT doc_id, lang, n_chars FROM documents WHERE AI.IF(PROMPT('is it formal {0}', text))",
+        "CREATE VIEW short AS SELECT doc_id FROM formal WHERE n_chars < 2000",
+        "CREATE TABLE gone AS SELECT 1 AS x",
+        "DROP TABLE gone",
+        "PREPARE p AS SELECT f.doc_id, f.lang FROM formal f JOIN short s ON f.doc_id = s.doc_id WHERE f.lang = $1 AND f.n_chars > $2",
+    ):
+        s.sql(text).dataframe()
+    return s.sql("EXECUTE p('en', 100)").dataframe()
+
+
+_REFUSED = {
+    "no such model function": ("SELECT AI.GUESS(c_name) FROM customer", "unknown function AI.GUESS"),
+    "unknown option": ("SELECT AI.IF(PROMPT('x {0}', c_name), {'speed': 1}) FROM customer", "unknown option 'speed'"),
+    "selectivity of a wrong type": ("SELECT AI.IF(PROMPT('x {0}', c_name), {'selectivity': 'much'}) FROM customer", "selectivity must be a number"),
+    "selectivity above one": ("SELECT AI.IF(PROMPT('x {0}', c_name), {'selectivity': 2}) FROM customer", "between 0 and 1"),
+    "anchor of one table": ("SELECT AI.IF(PROMPT('x {0}', c_name), {'anchor': 'n'}) FROM customer", "this prompt reads one table"),
+    "one label": ("SELECT AI.CLASSIFY(c_name, ['a']) FROM customer", "at least two labels"),
+    "labels alike": ("SELECT AI.CLASSIFY(c_name, ['a', 'A']) FROM customer", "differ by more than letter case"),
+    "compared with no label": ("SELECT 1 FROM customer WHERE AI.CLASSIFY(c_name, ['a', 'b']) = 'c'", "'c' is not a label"),
+    "field twice": ("SELECT AI.EXTRACT(c_name, {'a': 'x', 'a': 'y'}) FROM customer", "written twice"),
+    "question empty": ("SELECT AI.EXTRACT(c_name, {'a': ' '}) FROM customer", "is empty"),
+    "hole in an instruction": ("SELECT AI.MAP(c_name, 'shorten {0}') FROM customer", "has no {N}"),
+    "text as a test": ("SELECT 1 FROM customer WHERE AI.MAP(c_name, 'shorten')", "true or false"),
+    "number as a test": ("SELECT 1 FROM customer WHERE c_nationkey", "true or false"),
+    "prompt without its value": ("SELECT AI.IF(PROMPT('x {1}', c_name)) FROM customer", "PROMPT uses {1}"),
+    "column not grouped": ("SELECT c_name, COUNT(*) FROM customer GROUP BY c_nationkey", "neither grouped nor aggregated"),
+    "calls nearly alike": ("SELECT AI.IF(PROMPT('is it fine {0}', c_name)), AI.IF(PROMPT('Is it fine? {0}', c_name)) FROM customer", "ask the same"),
+}
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is refused before anything runs, and whether the message says why."""
+    s, rows = session(spark, sf_dir, "customer"), []
+    for name, (text, says) in _REFUSED.items():
+        try:
+            s.sql(text)
+            rows.append((name, False))
+        except (CompileError, RefusalError) as e:
+            rows.append((name, says in str(e)))
+    return spark.createDataFrame(rows, "mistake string, refused boolean")
+
+
 _T = Twin()
 _JOIN = "FROM supplier s {} JOIN nation n ON s.s_nationkey = n.n_nationkey AND " + _T.JN("fits", "s.s_name", "n.n_name")
 OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -299,5 +391,11 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "ask_fetch_key": (_ask_fetch_key, f"SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE {_T.IF('is it formal', 'text')}) WHERE n <= 2"),
 }
 
+_GOOD = f"SELECT p_partkey, p_size, {_T.IF('is it a good name', 'p_name')} AS good FROM part"
+_LONG = f"SELECT n_nationkey, n_name, {_T.SC('how long is', 'n_name')} AS s FROM nation"
+OPERATORS |= {f"source_{fmt}": (partial(_through, fmt), _GOOD if fmt in ("json", "csv", "orc") else _LONG) for fmt in ("json", "csv", "orc", "arrow", "reader", "pandas", "batch")}
+OPERATORS |= {f"model{name[2:]}": (partial(_modelled, name), TEXTS[name](_T)) for name in MODELLED}
+OPERATORS["statements"] = (_statements, f"SELECT doc_id, lang FROM documents WHERE {_T.IF('is it formal', 'text')} AND lang = 'en' AND n_chars > 100 AND n_chars < 2000")
+OPERATORS["refused"] = (_refused, "SELECT * FROM (VALUES " + ", ".join(f"('{name}', TRUE)" for name in _REFUSED) + ") t(mistake, refused)")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{name: partial(_run, name) for name in TEXTS}, **{name: run for name, (run, _) in OPERATORS.items()}}
 ORACLES: dict[str, str] = {**{name: text(Twin()) for name, text in TEXTS.items()}, **{name: sql for name, (_, sql) in OPERATORS.items()}}

@@ -19,7 +19,8 @@ from inquest.operators.backends import ExprBackend, ModelBackend, answer_type, a
 from inquest.operators.calls import ModelCall
 from inquest.plans.eager import Planner
 from inquest.plans.registry import ExtensionRegistry
-from inquest.plans.sqlfront import Front, Rewritten
+from inquest.plans.sqlfront import Front, Rewritten, tokenize
+from inquest.plans.sqlfront import _split as split_arguments
 from inquest.sources import catalog as sources
 from inquest.sources.shared import kept, workers_import
 
@@ -81,7 +82,11 @@ class AiSession:
         """A query, bound at once: mistakes show here, before anything runs."""
         if order not in (None, "as_written", "by_cost"):
             raise CompileError(f"unknown order '{order}'; expected as_written or by_cost")
-        return Query(self, text, dialect)
+        return Query(self, text, dialect, order)
+
+    def read_format(self, name: str, fmt: str, path: str | None = None, id_col: str = "", **options: Any) -> DataFrame:
+        """Register a table of any Spark data source: delta, iceberg, orc, jdbc and so on."""
+        return self.catalog.add(name, sources.read_format(self.spark, fmt, path, **options), id_col)
 
     def front(self, dialect: str) -> Front:
         return Front(self._answer, documents_.sql_call(self.spark), dialect, self.labels_of, self.columns_of)
@@ -122,11 +127,26 @@ _EXPLAIN = re.compile(r"\s*EXPLAIN\s+(ANALYZE\s+|VERBOSE\s+)*(.*)", re.I | re.S)
 _PLAIN = re.compile(r"\s*(SET|RESET|SHOW|DESCRIBE|DESC)\b", re.I)
 
 
+def _filled_in(body: str, values: str, dialect: str) -> str:
+    """A prepared statement with its $1, $2, ... replaced, except inside strings and quoted names."""
+    tokens = tokenize(values, dialect)
+    given = [" ".join(t.text for t in v) for v in split_arguments(tokens)] if tokens else []
+
+    def value(m: re.Match) -> str:
+        if m[1] is None:
+            return m[0]
+        if not 1 <= int(m[1]) <= len(given):
+            raise CompileError(f"the statement reads ${m[1]} and was given {len(given)} value{'s' * (len(given) != 1)}")
+        return f"({given[int(m[1]) - 1]})" if given[int(m[1]) - 1][:1] == "-" else given[int(m[1]) - 1]
+
+    return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`|--[^\n]*|\$(\d+)", value, body)
+
+
 class Query:
     """A bound statement; nothing has run yet."""
 
-    def __init__(self, session: AiSession, text: str, dialect: str) -> None:
-        self.session, self.text, self.dialect = session, text, dialect
+    def __init__(self, session: AiSession, text: str, dialect: str, order: str | None = None) -> None:
+        self.session, self.text, self.dialect, self.order = session, text, dialect, order
         self.calls: list[ModelCall] = []
         self._act: Callable[[], DataFrame] | None = None
         self.spark_sql = ""
@@ -138,7 +158,7 @@ class Query:
         s, spark = self.session, self.session.spark
         empty = lambda: spark.createDataFrame([], "status string")
         if m := _CREATE.match(self.text):
-            kind, name, body = m[1].upper(), m[2].strip('`"'), Query(s, m[3], self.dialect)
+            kind, name, body = m[1].upper(), m[2].strip('`"'), Query(s, m[3], self.dialect, self.order)
             self.calls = body.calls
 
             def create() -> DataFrame:
@@ -167,12 +187,10 @@ class Query:
             if m[1].lower() not in s.prepared:
                 raise CompileError(f"nothing is prepared under the name '{m[1]}'")
             body, dialect = s.prepared[m[1].lower()]
-            values = re.findall(r"'(?:[^'\\]|\\.|'')*'|[^,]+", m[2] or "")
-            body = re.sub(r"\$(\d+)", lambda k: values[int(k[1]) - 1].strip(), body)
-            inner = Query(s, body, dialect)
+            inner = Query(s, _filled_in(body, m[2] or "", dialect), dialect, self.order)
             self.calls, self._act = inner.calls, inner.dataframe
         elif m := _EXPLAIN.match(self.text):
-            inner = Query(s, m[2], self.dialect)
+            inner = Query(s, m[2], self.dialect, self.order)
             self.calls = inner.calls
             self._act = lambda: spark.createDataFrame([(inner.explain(analyze="ANALYZE" in (m[1] or "").upper()),)], "plan string")
         elif _PLAIN.match(self.text):
@@ -191,7 +209,8 @@ class Query:
     def _planned(self) -> DataFrame:
         """The rows with a model that answers outside Spark; the questions are asked here, once a query."""
         if self._rows is None:
-            planner = Planner(self.session, self.dialect, self.session.without)
+            # as written: tests run in the order of the text
+            planner = Planner(self.session, self.dialect, (*self.session.without, *(["order"] if self.order == "as_written" else [])))
             self._rows = planner.run(self.text)
             self.asked = planner.log
         return self._rows
@@ -231,6 +250,18 @@ class Query:
         return self.run().execute_stream(batch_rows, limit)
 
 
+def _as_bytes(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in given:
+            for batch in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, batch.schema) as writer:
+                    writer.write_batch(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["ipc"])
+
+    return run
+
+
 class QueryResult:
     """Rows, as a table or as a stream, and what running took."""
 
@@ -253,19 +284,18 @@ class QueryResult:
         return out
 
     def execute_stream(self, batch_rows: int = 65536, limit: int | None = None) -> pa.RecordBatchReader:
-        """Record batches while the query runs, one partition after another."""
+        """Record batches while the query runs, one partition after another, of at most ``batch_rows`` rows.
+
+        Batches cross from the executors as Arrow's own bytes; no row becomes a Python object.
+        """
         df = self._limited(limit)
         schema = df.limit(0).toArrow().schema
+        workers_import(df.sparkSession)
 
         def batches() -> Iterator[pa.RecordBatch]:
-            held: list[dict] = []
-            for row in df.toLocalIterator(prefetchPartitions=False):
-                held.append(row.asDict(recursive=True))
-                if len(held) == batch_rows:
-                    yield pa.RecordBatch.from_pylist(held, schema)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_pylist(held, schema)
+            for row in df.mapInArrow(_as_bytes(batch_rows), "ipc binary").toLocalIterator(prefetchPartitions=False):
+                for batch in pa.ipc.open_stream(bytes(row["ipc"])):
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema, strict=True)], schema=schema)
 
         return pa.RecordBatchReader.from_batches(schema, batches())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -12,11 +13,14 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; a local one is set only where that is unset."""
+    """A folder of this application below ``spark.checkpoint.dir``; a local one is set where that is unset, on one
+    machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="inquest-"))
         root = context._jsc.sc().getCheckpointDir().get()
     return f"{root.rstrip('/')}/answers-{spark.sparkContext.applicationId}"
