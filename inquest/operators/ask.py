@@ -23,13 +23,27 @@ from inquest.sources.shared import kept, workers_import
 
 @dataclass
 class AskLog:
-    """How many questions each call has asked."""
+    """How questions are asked, and how many each call has asked.
+
+    ``batch_rows``: documents in a batch; ``parallelism``: tasks that ask, as many as the documents come in if None;
+    ``listeners`` are told of each call once its answers are written: the call, a DataFrame of the answers (h1, h2,
+    answer) and their number.
+    """
 
     asked: dict[ModelCall, int] = field(default_factory=dict)
+    batch_rows: int = 1024
+    parallelism: int | None = None
+    listeners: list[Callable[[ModelCall, DataFrame, int], None]] = field(default_factory=list)
 
     def add(self, call: ModelCall, n: int) -> None:
         self.asked[call.identity()] = self.asked.get(call.identity(), 0) + n
 
+    def heard(self, call: ModelCall, found: DataFrame) -> None:
+        n = found.count()
+        self.add(call, n)
+        for listener in self.listeners:
+            listener(call.identity(), found, n)
+
     @property
     def total(self) -> int:
         return sum(self.asked.values())
@@ -49,13 +63,16 @@ def _anchor(call: ModelCall) -> int | None:
     return int(call.anchor) if call.anchor and call.anchor.isdigit() else None
 
 
-def answers(docs: DataFrame, call: ModelCall, backend: ModelBackend, batch_rows: int = 1024, beside: int | None = None) -> DataFrame:
+def answers(docs: DataFrame, call: ModelCall, backend: ModelBackend, log: AskLog | None = None, beside: int | None = None) -> DataFrame:
     """h1, h2, d0.. -> h1, h2, answer, asked in Arrow batches and written once.
 
     With ``beside`` questions that share this document follow one another, for models that keep what they read.
     """
     workers_import(docs.sparkSession)
     kind, n = answer_type(call), call.documents
+    batch_rows = log.batch_rows if log else AskLog.batch_rows
+    if log and log.parallelism:
+        docs = docs.repartition(log.parallelism)
     if beside is not None:
         docs = docs.sortWithinPartitions(F.xxhash64(docs.columns[2 + beside]))
 
@@ -85,9 +102,9 @@ def ask(df: DataFrame, call: ModelCall, documents: Sequence[Column | str], out:
     keys = {"__h1": F.when(wanted, F.xxhash64(*given)), "__h2": F.when(wanted, F.xxhash64(F.lit(7), *given))}
     keyed = df.withColumns(keys)
     docs = keyed.where("__h1 IS NOT NULL").select(F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), *(d.alias(n) for d, n in zip(given, names, strict=True)))
-    found = answers(docs.dropDuplicates(["h1", "h2"]), call, backend, beside=_anchor(call))
+    found = answers(docs.dropDuplicates(["h1", "h2"]), call, backend, log, beside=_anchor(call))
     if log is not None:
-        log.add(call, found.count())
+        log.heard(call, found)
     found = found.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("answer").alias(out))
     return keyed.join(found, ["__h1", "__h2"], "left").select(*(F.col(f"`{c}`") for c in df.columns if c != out), out)
 
@@ -139,9 +156,9 @@ def ai_join(left: DataFrame, right: DataFrame, call: ModelCall, left_doc: str, r
         for each in sorted([call, *extra], key=ModelCall.rank):
             check_support(backend, each)
             kinds = pairs.select(*keys).distinct().join(texts(lhs, left_doc, "l"), keys[:2]).join(texts(rhs, right_doc, "r"), keys[2:])
-            asked = answers(kinds.select(F.xxhash64(*keys).alias("h1"), F.xxhash64(F.lit(7), *keys).alias("h2"), "__l", "__r"), each, backend, beside=_anchor(each))
+            asked = answers(kinds.select(F.xxhash64(*keys).alias("h1"), F.xxhash64(F.lit(7), *keys).alias("h2"), "__l", "__r"), each, backend, log, beside=_anchor(each))
             if log is not None:
-                log.add(each, asked.count())
+                log.heard(each, asked)
             good = asked.where("answer").select("h1", "h2")
             pairs = pairs.join(good, (F.xxhash64(*keys) == F.col("h1")) & (F.xxhash64(F.lit(7), *keys) == F.col("h2")), "left_semi")
     pairs = kept(pairs.select(row_l, row_r), "pairs")

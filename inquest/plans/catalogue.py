@@ -226,6 +226,8 @@ TEXTS: dict[str, Callable[[Asked], str]] = {
     "numeric_functions": lambda m: "SELECT o_orderkey, ABS(o_totalprice - 150000) AS away, ROUND(LOG10(o_totalprice), 6) AS size, GREATEST(o_custkey, NULL, 100) AS g, COALESCE(NULLIF(o_custkey % 7, 0), -1) AS rest FROM orders",
     "sum_of_nulls": lambda m: "SELECT lang, SUM(CASE WHEN n_chars < 0 THEN n_chars END) AS s, COUNT(*) AS n FROM documents GROUP BY lang",
     "window_frames": lambda m: "SELECT o_orderkey, SUM(o_custkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS two, FIRST_VALUE(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first, NTILE(3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS third FROM orders",
+    "qualify": lambda m: "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 1000 QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2",
+    "ai_qualify": lambda m: f"SELECT doc_id, source FROM documents QUALIFY RANK() OVER (PARTITION BY source ORDER BY {m.SC('how clear is', 'text')} DESC, doc_id) <= 3",
     "string_functions": lambda m: "SELECT c_custkey, UPPER(c_mktsegment) AS u, REVERSE(c_name) AS r, LENGTH(c_name) AS n, LEFT(c_name, 3) AS l, RIGHT(c_name, 2) AS e, SUBSTRING(c_name, 2, 4) AS s, NULLIF(c_mktsegment, 'BUILDING') AS x, GREATEST(c_nationkey, 10) AS g, ABS(c_acctbal) AS a FROM customer",
     # relational parity
     "plain_join_agg": lambda m: "SELECT c.c_mktsegment, COUNT(*) AS n, ROUND(SUM(l.l_quantity), 2) AS qty FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey WHERE l.l_returnflag = 'R' GROUP BY c.c_mktsegment",
@@ -299,7 +301,7 @@ def _ask_fetch_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODELLED = (
     "ai_if_or_chain", "ai_if_and_chain", "ai_if_case", "ai_if_hint", "ai_prompt_multi_column", "ai_score_avg_having", "ai_score_topk", "ai_classify_group", "ai_classify_distinct", "ai_extract_like",
     "ai_extract_topk", "ai_extract_span", "ai_map_then_classify", "ai_features_unnest", "ai_join_inner_key", "ai_join_full", "ai_join_exists", "ai_join_not_exists", "ai_join_three_way", "ai_in_subquery",
-    "ai_exists_or", "ai_count_threshold", "ai_cte_shared", "ai_except", "ai_window_between", "ai_sum_case", "ai_distinct_on", "ai_limit_offset", "ai_case_branches", "ai_distinct_above",
+    "ai_exists_or", "ai_count_threshold", "ai_cte_shared", "ai_except", "ai_window_between", "ai_sum_case", "ai_distinct_on", "ai_limit_offset", "ai_case_branches", "ai_distinct_above", "ai_qualify",
 )
 
 
@@ -367,6 +369,12 @@ _REFUSED = {
 }
 
 
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What information_schema says of two registered tables."""
+    s = session(spark, sf_dir, "region nation")
+    return s.sql("SELECT t.table_name, c.column_name, CAST(c.ordinal_position AS BIGINT) AS place FROM information_schema.tables t JOIN information_schema.columns c ON t.table_name = c.table_name").dataframe()
+
+
 def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is refused before anything runs, and whether the message says why."""
     s, rows = session(spark, sf_dir, "customer"), []
@@ -396,6 +404,7 @@ _LONG = f"SELECT n_nationkey, n_name, {_T.SC('how long is', 'n_name')} AS s FROM
 OPERATORS |= {f"source_{fmt}": (partial(_through, fmt), _GOOD if fmt in ("json", "csv", "orc") else _LONG) for fmt in ("json", "csv", "orc", "arrow", "reader", "pandas", "batch")}
 OPERATORS |= {f"model{name[2:]}": (partial(_modelled, name), TEXTS[name](_T)) for name in MODELLED}
 OPERATORS["statements"] = (_statements, f"SELECT doc_id, lang FROM documents WHERE {_T.IF('is it formal', 'text')} AND lang = 'en' AND n_chars > 100 AND n_chars < 2000")
+OPERATORS["described"] = (_described, "SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS place FROM information_schema.columns WHERE table_name IN ('region', 'nation')")
 OPERATORS["refused"] = (_refused, "SELECT * FROM (VALUES " + ", ".join(f"('{name}', TRUE)" for name in _REFUSED) + ") t(mistake, refused)")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{name: partial(_run, name) for name in TEXTS}, **{name: run for name, (run, _) in OPERATORS.items()}}
 ORACLES: dict[str, str] = {**{name: text(Twin()) for name, text in TEXTS.items()}, **{name: sql for name, (_, sql) in OPERATORS.items()}}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -34,12 +35,28 @@ def _from_path(read: Callable[[SparkSession, str], DataFrame]) -> Callable[...,
     return register
 
 
+@dataclass(frozen=True)
+class EngineConfig:
+    """Which model answers and how it is asked: documents in a batch, tasks that ask, rules of the planner left out."""
+
+    model: ModelBackend | str | None = None
+    batch_rows: int = 1024
+    parallelism: int | None = None
+    without: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.batch_rows < 1 or self.parallelism is not None and self.parallelism < 1:
+            raise CompileError("batch_rows and parallelism are at least 1")
+
+
 class AiSession:
     """SQL with questions to a model, over an existing SparkSession."""
 
-    def __init__(self, spark: SparkSession | None = None, model: ModelBackend | str | None = None, registry: ExtensionRegistry | None = None, without: Sequence[str] = ()) -> None:
+    def __init__(self, spark: SparkSession | None = None, model: ModelBackend | str | None = None, registry: ExtensionRegistry | None = None, without: Sequence[str] = (), config: EngineConfig | None = None) -> None:
         self.spark = spark or SparkSession.builder.getOrCreate()
         self.registry = registry or ExtensionRegistry()
+        self.config = config or EngineConfig()
+        model, without = model if model is not None else self.config.model, without or self.config.without
         self.model = self.registry.model(model) if isinstance(model, str) else model or ExprBackend()
         self.catalog = sources.Catalog(self.spark)
         self.prepared: dict[str, tuple[str, str]] = {}
@@ -78,11 +95,12 @@ class AiSession:
 
     # ---- queries
 
-    def sql(self, text: str, *, dialect: str = "snowflake", order: str | None = None) -> Query:
-        """A query, bound at once: mistakes show here, before anything runs."""
+    def sql(self, text: str, *, dialect: str = "snowflake", order: str | None = None, nodes: Sequence[str] = ()) -> Query:
+        """A query, bound at once: mistakes show here, before anything runs. ``nodes`` are registered steps that its
+        rows go through at the end, one after another."""
         if order not in (None, "as_written", "by_cost"):
             raise CompileError(f"unknown order '{order}'; expected as_written or by_cost")
-        return Query(self, text, dialect, order)
+        return Query(self, text, dialect, order, tuple(map(self.registry.node, nodes)))
 
     def read_format(self, name: str, fmt: str, path: str | None = None, id_col: str = "", **options: Any) -> DataFrame:
         """Register a table of any Spark data source: delta, iceberg, orc, jdbc and so on."""
@@ -124,9 +142,25 @@ _DROP = re.compile(r"\s*DROP\s+(?:TABLE|VIEW)\s+(IF\s+EXISTS\s+)?([\w`\"]+)\s*;?
 _PREPARE = re.compile(r"\s*PREPARE\s+(\w+)(?:\s*\([^)]*\))?\s+AS\s+(.*)", re.I | re.S)
 _EXECUTE = re.compile(r"\s*EXECUTE\s+(\w+)\s*(?:\((.*)\))?\s*;?\s*$", re.I | re.S)
 _EXPLAIN = re.compile(r"\s*EXPLAIN\s+(ANALYZE\s+|VERBOSE\s+)*(.*)", re.I | re.S)
+_SCHEMA = re.compile(r"'(?:[^'\\]|\\.|'')*'|\binformation_schema\s*\.\s*(tables|columns)\b", re.I)
 _PLAIN = re.compile(r"\s*(SET|RESET|SHOW|DESCRIBE|DESC)\b", re.I)
 
 
+def _with_schema(session: AiSession, text: str) -> str:
+    """information_schema.tables and .columns are views of what is registered."""
+    found = {k.lower() for k in _SCHEMA.findall(text) if k}
+    tables = {name: df for name, df in session.catalog.tables.items() if not name.startswith("__information_")}
+    for kind in found:
+        if kind == "tables":
+            rows, schema = [(n, "VIEW") for n in tables], "table_name string, table_type string"
+        else:
+            rows = [(n, f.name, k, f.dataType.simpleString(), "YES" if f.nullable else "NO") for n, df in tables.items() for k, f in enumerate(df.schema, 1)]
+            schema = "table_name string, column_name string, ordinal_position int, data_type string, is_nullable string"
+        session.spark.createDataFrame(rows, schema).createOrReplaceTempView(f"__information_{kind}")
+        session.views.append(f"__information_{kind}")
+    return _SCHEMA.sub(lambda m: f"__information_{m[1].lower()}" if m[1] else m[0], text)
+
+
 def _filled_in(body: str, values: str, dialect: str) -> str:
     """A prepared statement with its $1, $2, ... replaced, except inside strings and quoted names."""
     tokens = tokenize(values, dialect)
@@ -145,8 +179,8 @@ def _filled_in(body: str, values: str, dialect: str) -> str:
 class Query:
     """A bound statement; nothing has run yet."""
 
-    def __init__(self, session: AiSession, text: str, dialect: str, order: str | None = None) -> None:
-        self.session, self.text, self.dialect, self.order = session, text, dialect, order
+    def __init__(self, session: AiSession, text: str, dialect: str, order: str | None = None, nodes: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> None:
+        self.session, self.text, self.dialect, self.order, self.nodes = session, _with_schema(session, text), dialect, order, nodes
         self.calls: list[ModelCall] = []
         self._act: Callable[[], DataFrame] | None = None
         self.spark_sql = ""
@@ -222,7 +256,15 @@ class Query:
             raise CompileError(explain_error(e)) from e
 
     def dataframe(self) -> DataFrame:
-        return self._act()
+        df = self._act()
+        for node in self.nodes:
+            df = node(df)
+        return df
+
+    def regions(self) -> list[dict]:
+        """The parts that a model answers: each different call, and how often it was asked if it has run."""
+        asked = self.asked.asked if self.asked else {}
+        return [{"kind": c.kind, "question": c.question, "documents": c.documents, "executed": c in asked, "asked": asked.get(c)} for c in dict.fromkeys(c.identity() for c in self.calls)]
 
     def plan(self) -> str:
         """The optimised logical plan."""
@@ -279,8 +321,7 @@ class QueryResult:
         began = time.time()
         out = self._limited(limit).toArrow()
         self._seconds, self._rows = time.time() - began, out.num_rows
-        for observer in self.query.session.registry.observers:
-            observer(self.report())
+        self.query.session.registry.report(self.report())
         return out
 
     def execute_stream(self, batch_rows: int = 65536, limit: int | None = None) -> pa.RecordBatchReader:

@@ -291,3 +291,42 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared.shared_dir(type("Session", (), {"conf": Conf, "sparkContext": Context}))
+
+
+def test_sinks_nodes_regions_and_settings(spark):
+    from inquest.plans.registry import ExtensionRegistry
+    from inquest.plans.session import EngineConfig
+
+    events, stored, nodes, sizes = [], [], [], []
+
+    class Watcher:
+        after_node = staticmethod(nodes.append)
+        report = staticmethod(events.append)
+
+    registry = ExtensionRegistry()
+    registry.register_progress(events.append)
+    registry.register_answers(lambda call, found: stored.append((call.kind, sorted(r.answer for r in found.collect()))))
+    registry.register_node("twice", lambda df: df.unionAll(df))
+    registry.register_observer(Watcher())
+    model = ArrowBackend(lambda call, docs: [len(docs)] and ["a" if d[0] < "d" else "b" for d in docs])
+    with AiSession(spark, registry=registry, config=EngineConfig(model, batch_rows=2, parallelism=1)) as s:
+        s.register("t", {"id": [1, 2, 3, 4, 5], "note": ["a", "b", "c", "d", "e"]})
+        query = s.sql("SELECT id, AI.CLASSIFY(note, ['a', 'b']) AS c FROM t", nodes=["twice"])
+        assert query.regions() == [{"kind": "classify", "question": "", "documents": 1, "executed": False, "asked": None}]
+        assert len(query.run().to_rows()) == 10
+        assert query.regions()[0] | {"executed": True, "asked": 5} == query.regions()[0]
+    assert events[0]["asked"] == 5 == events[0]["total"] and events[-1]["rows"] == 10 and nodes == events[:1]
+    assert stored == [("classify", ["a", "a", "a", "b", "b"])]
+    with pytest.raises(Exception, match="unknown node"):
+        s.sql("SELECT 1", nodes=["none"])
+    with pytest.raises(Exception, match="at least 1"):
+        EngineConfig(batch_rows=0)
+
+
+def test_qualify_and_information_schema(spark):
+    with AiSession(spark) as s:
+        s.register("r", R)
+        rows = s.sql("SELECT a.id FROM (SELECT id, stars FROM r QUALIFY ROW_NUMBER() OVER (PARTITION BY stars ORDER BY id) = 1) a WHERE a.stars IS NOT NULL ORDER BY a.id LIMIT 3").run().to_rows()
+        assert [x["id"] for x in rows] == ["k1", "k2", "k3"]
+        names = s.sql("SELECT column_name, 'information_schema.tables' AS t FROM information_schema.columns ORDER BY ordinal_position").run().to_rows()
+        assert [x["column_name"] for x in names] == ["id", "note", "stars"] and names[0]["t"] == "information_schema.tables"
