@@ -90,7 +90,7 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str | int, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a text column holds about ``chars`` bytes in each piece.
 
     One text longer than that makes a piece of its own: texts are never cut.

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,20 +155,38 @@ def quotas(counts: dict[str, int], sample: int) -> dict[str, float]:
     return out
 
 
-def _drawn_features(known: DataFrame, share: Column, sample: int) -> list[tuple[np.ndarray, np.ndarray, str]]:
-    """Columns, 1 + log(tf) and language of a sample of rows that have a letter, in the order of their draw."""
+@dataclass
+class Drawn:
+    """Features of a sample of rows that have a letter, in the order of their draw, one array for all."""
+
+    langs: list[str]
+    bounds: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    idf: np.ndarray
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and TF-IDF of length 1."""
+        at = self.columns[self.bounds[i] : self.bounds[i + 1]].astype(np.int64)
+        x = self.values[self.bounds[i] : self.bounds[i + 1]].astype(float) * self.idf[at]
+        return at, x / np.sqrt(x @ x)
+
+
+def _draw(known: DataFrame, share: Column, sample: int, idf: np.ndarray) -> Drawn:
     drawn = known.where(F.shiftrightunsigned("draw", 11) < share * float(1 << 53))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = [(d, lang, *features(t)) for d, lang, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if _LETTER.search(t)]
             arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())]
-            arrays += [pa.array([r[k].astype(t).tobytes() for r in rows], pa.binary()) for k, t in ((2, np.uint16), (3, np.float32))]
+            arrays += [pa.array([r[k].astype(t).tobytes() for r in rows], pa.binary()) for k, t in ((2, np.uint16), (3, np.float16))]
             yield pa.RecordBatch.from_arrays(arrays, ["draw", "lang", "at", "tf"])
 
     made = drawn.select("draw", "lang", "text").mapInArrow(run, "draw bigint, lang string, at binary, tf binary").orderBy("draw").limit(sample)
-    rows = sorted((r["draw"], r["lang"], bytes(r["at"]), bytes(r["tf"])) for r in made.toLocalIterator())
-    return [(np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(tf, np.float32).astype(float), lang) for _, lang, at, tf in rows]
+    table = made.toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])
+    columns, values = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("at", np.uint16), ("tf", np.float16)))
+    sizes = pc.binary_length(table["at"]).to_numpy() // 2
+    return Drawn(table["lang"].to_pylist(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), columns, values, idf)
 
 
 def fit(docs: DataFrame, training: Column, sample: int = SAMPLE) -> LanguageModel:
@@ -179,21 +198,20 @@ def fit(docs: DataFrame, training: Column, sample: int = SAMPLE) -> LanguageMode
     known = known.where("text IS NOT NULL")
     # copies of a text differ in their ids, so a hash of both draws them apart; one row for each language
     share = quotas({r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}, sample)
-    drawn = _drawn_features(known, F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")], sample) if share else []
-    langs = sorted({lang for *_, lang in drawn})
+    if not share:
+        return LanguageModel([], idf, np.zeros((_SIZE + 1, 1)), 1.0)
+    drawn = _draw(known, F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")], sample, idf)
+    langs = sorted(set(drawn.langs))
+    label = [langs.index(lang) for lang in drawn.langs]
     model = Ftrl(max(1, len(langs)))
-    seen = []
-    for at, tf, lang in drawn:
-        x = tf * idf[at]
-        seen.append((at, x / np.sqrt(x @ x), langs.index(lang)))
-    held = seen[::10] if len(seen) >= 50 else []
-    learned = [s for i, s in enumerate(seen) if i % 10] if held else seen
+    held = list(range(0, len(label), 10)) if len(label) >= 50 else []
+    learned = [i for i in range(len(label)) if i % 10] if held else list(range(len(label)))
     for epoch in range(EPOCHS):
-        for i in np.random.default_rng(epoch).permutation(len(learned)):
-            model.learn(*learned[i])
+        for k in np.random.default_rng(epoch).permutation(len(learned)):
+            model.learn(*drawn[learned[k]], label[learned[k]])
     weights = model.weights(slice(None))
-    logits = np.array([x @ weights[at] + weights[_SIZE] for at, x, _ in held])
-    heat = temperature(logits, np.array([y for *_, y in held])) if held and len(langs) > 1 else 1.0
+    logits = np.array([x @ weights[at] + weights[_SIZE] for at, x in (drawn[i] for i in held)])
+    heat = temperature(logits, np.array([label[i] for i in held])) if held and len(langs) > 1 else 1.0
     return LanguageModel(langs, idf, weights, heat)
 
 
