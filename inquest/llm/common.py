@@ -26,11 +26,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes that a batch on its way to Python holds at most: ten thousand very long texts fit in no worker.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package wherever the driver was started.
+    """Let Python workers on this machine import the package wherever the driver was started, and bound the bytes of
+    their batches where the session doesn't.
 
     On a cluster the package is installed or sent with ``--py-files``.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if REPO not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
