@@ -184,7 +184,8 @@ def ai_fetch(df: DataFrame, call: ModelCall, documents: Sequence[Column | str],
     given = _columns(documents)
     by, at = [f"__o{i}" for i in range(len(order))], "__row"
     # what is ordered carries no text; row numbers must not change between readings
-    whole = kept(df.withColumn(at, F.monotonically_increasing_id()), "rows")
+    whole = df.withColumn(at, F.monotonically_increasing_id())
+    whole = whole if _stays(df) else kept(whole, "rows")
     small = whole.select(at, *(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(key)), *(c.alias(b) for c, b in zip(order, by, strict=True)))
     keys = [f"__k{i}" for i in range(len(key))]
     down = [F.col(b) for b in by] + [F.col(at)]
@@ -211,6 +212,12 @@ def ai_fetch(df: DataFrame, call: ModelCall, documents: Sequence[Column | str],
     return whole.join(kept(best, "fetched"), at, "left_semi").drop(at)
 
 
+def _stays(df: DataFrame) -> bool:
+    """Whether each reading of df has the same rows in the same partitions: no shuffle and nothing drawn."""
+    plan = df._jdf.queryExecution()
+    return "Exchange" not in plan.executedPlan().toString() and plan.optimizedPlan().deterministic()
+
+
 def _placed(small: DataFrame, keys: Sequence[str], down: Sequence[Column]) -> DataFrame:
     """Number each key's rows in order, ``__n`` from 1: ranges over key and order, then what lies before a range."""
     ranged = kept(small.repartitionByRange(*(F.col(k) for k in keys), *down).withColumn("__part", F.spark_partition_id()), "ranges")
@@ -252,7 +259,7 @@ def ai_take(df: DataFrame, call: ModelCall, documents: Sequence[Column | str], n
     """
     if n <= 0:
         return df.limit(0)
-    source = kept(df, "rows") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+    source = df if _stays(df) else kept(df, "rows")
     workers_import(df.sparkSession)
     low, size, found = 0, 2 * n, None
     schema = T.StructType([*df.schema.fields, T.StructField("__at", T.LongType()), T.StructField("__part", T.LongType())])

@@ -34,7 +34,10 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def workers_import(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package."""
+    """Let Python workers on this machine import the package, and bound the bytes of their batches where the session
+    doesn't."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
