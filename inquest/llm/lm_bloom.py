@@ -3,7 +3,9 @@
 The model is a word bigram model interpolated with a discounted unigram model. Counts of all training n-grams
 live in Bloom filters: a count is quantised to a level (1, 2, 3, 4, 5, 6, 8, 10, ... about a quarter apart), and
 the n-gram is inserted once for each level up to its own. A count is read by probing level 1, 2, ... until a
-probe fails. Absence is never wrong, and an n-gram never counts as rarer than it is.
+probe fails. Absence is never wrong, and an n-gram never counts as rarer than it is. As a filter holds every level
+up to an n-gram's own, words, whose exact counts lie beside it, are probed from their own level on, and a task
+remembers the levels of frequent bigrams that it has read: both give the levels that probing from 1 gives.
 
 N-grams are counted in shards of the hash space: each task sums what it has seen and sends sorted blocks, so a
 frequent word is a few numbers a task. A shard's filter and its exact word counts (for the base score) are
@@ -29,18 +31,21 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inquest.llm.common import WordHashes, dropped, fold_of, mix64, ship, slices, stored
+from inquest.llm.common import dropped, fold_of, mix64, ship, slices, stored
 
 HASHES, BITS = 5, 8
 #: N-grams that a counting task holds before it sends them; bytes of text that a shard is made for; of a block.
 HELD, SHARD_BYTES, BLOCK_BYTES = 1_000_000, 64 << 20, 2_500_000
+#: Bytes of a word that are hashed eight at a time; the level from which a task remembers bigrams, and how many.
+WORD_BYTES, FREQUENT, REMEMBERED = 64, 8, 1_000_000
 _ONE, _GOLD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,28 +65,55 @@ VALUE = np.concatenate([[0.0], np.sqrt(LEVELS[1:-1].astype(float) * np.maximum(L
 N_LEVELS = len(LEVELS)
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case; bytes, as only ASCII letters and ASCII white space matter."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts on end, with A-Z in lower case, and each text's number of words; only ASCII letters and
+    ASCII white space matter."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    ends = np.cumsum(pc.list_value_length(split).fill_null(0).to_numpy(zero_copy_only=False))
+    flat = split.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty piece
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return flat.filter(full), np.diff(upto[ends], prepend=0)
+
+
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, whatever array they are in; those of long words are xxHash's."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = words.buffers()
+    wide = pa.types.is_large_string(words.type)
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    held = np.zeros(int(offsets[-1] - offsets[0]) + 8, np.uint8)
+    held[:-8] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    eight = np.ndarray(len(held) - 7, "<u8", held, strides=(1,))  # the eight bytes from each place on
+    start, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    h, at = mix64(size.astype(np.uint64) * _GOLD), np.arange(len(words))
+    for done in range(0, WORD_BYTES, 8):
+        at = at[size[at] > done]
+        h[at] = mix64(h[at] ^ (eight[start[at] + done] & _FIRST[np.minimum(size[at] - done, 8)]))
+    for i in np.flatnonzero(size > WORD_BYTES):
+        h[i] = xxhash.xxh3_64_intdigest(held[start[i] : start[i] + size[i]])
+    return h
 
 
 class _Hasher:
     """Even hashes for words and odd ones for bigrams; the end and the start are no words."""
 
     def __init__(self) -> None:
-        self.words = WordHashes(120_000)
-        self.end, self.start = (np.uint64(self.words[x] & ~1) for x in (b" end", b" start"))
+        self.end, self.start = hashes_of(pa.array([" end", " start"])) & ~_ONE
 
-    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token hashes and bigram hashes of all texts on end, and each text's number of tokens."""
-        split = [tokens_of(t) for t in texts]
-        sizes = np.array([len(s) + 1 for s in split], np.int64)
+        words, sizes = words_of(texts)
+        sizes = sizes + 1
         ends = np.cumsum(sizes) - 1
         uni = np.empty(int(sizes.sum()), np.uint64)
         inner = np.ones(len(uni), bool)
         inner[ends] = False
-        uni[inner] = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.uint64, int(inner.sum()))
-        uni &= ~_ONE
+        uni[inner] = hashes_of(words) & ~_ONE
         uni[ends] = self.end
         before = np.roll(uni, 1)
         before[ends - sizes + 1] = self.start
@@ -105,7 +137,7 @@ def _counting(shards: int):
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([h[at[s] : at[s + 1]].tobytes() for s in used], pa.binary()), pa.array([n[at[s] : at[s + 1]].astype(np.uint32).tobytes() for s in used], pa.binary())], ["shard", "hashes", "counts"])
 
         for batch in slices(batches, "text"):
-            uni, bi, sizes = hashed(batch.column(0).to_pylist())
+            uni, bi, sizes = hashed(batch.column(0))
             starts = np.full(len(sizes), hashed.start)  # the context of first words
             h, n = np.unique(np.concatenate([uni, bi, starts]), return_counts=True)
             held.append((h, n))
@@ -143,19 +175,21 @@ class LogBloom:
         size = max(64, int(level.sum()) * bits_each + 7 >> 3)
         made = cls(np.zeros(size, np.uint8))
         for j in range(1, int(level.max(initial=0)) + 1):
-            a = cls._mixed(h[level >= j], j)
+            h, level = h[level >= j], level[level >= j]
+            a = cls._mixed(h, j)
             for k in range(HASHES):
                 at = _place(a, k, made.bits.size * 8)
                 np.bitwise_or.at(made.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         return made
 
     @staticmethod
-    def _mixed(h: np.ndarray, level: int) -> np.ndarray:
-        return mix64(h + np.uint64(level * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
+    def _mixed(h: np.ndarray, level: int | np.ndarray) -> np.ndarray:
+        return mix64(h + np.asarray(level, np.uint64) * _GOLD)
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """Probe level after level until one is missing."""
-        return _levels(self.bits, h, np.arange(len(h)), None, self.bits.size * 8)
+    def levels(self, h: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+        """Probe level after level until one is missing, above those that the hashes have for certain."""
+        out = np.zeros(len(h), np.uint8) if least is None else least
+        return _levels(self.bits, h, out, np.arange(len(h)), None, self.bits.size * 8)
 
 
 def _place(a: np.ndarray, k: int, size: int | np.ndarray) -> np.ndarray:
@@ -166,21 +200,50 @@ def _place(a: np.ndarray, k: int, size: int | np.ndarray) -> np.ndarray:
     return ((a + np.uint64(k) * step & np.uint64(0xFFFFFFFF)) * np.asarray(size, np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
-def _levels(bits: np.ndarray, h: np.ndarray, at: np.ndarray, start: np.ndarray | None, size: int | np.ndarray) -> np.ndarray:
-    """Levels of hashes, those at ``at``; with ``start``, each in its filter of ``size`` bits from there."""
-    out, level = np.zeros(len(h), np.uint8), 0
-    while len(at) and level < N_LEVELS - 1:
-        level += 1
-        a = LogBloom._mixed(h[at], level)
+def _levels(bits: np.ndarray, h: np.ndarray, out: np.ndarray, at: np.ndarray, start: np.ndarray | None, size: int | np.ndarray) -> np.ndarray:
+    """Raise the levels ``out`` of hashes, those at ``at``, until the next is missing; with ``start``, each in its
+    filter of ``size`` bits from there."""
+    at = at[out[at] < N_LEVELS - 1]
+    while len(at):
+        a = LogBloom._mixed(h[at], out[at] + np.uint8(1))
         for k in range(HASHES):  # the first bit that is missing decides
             p = _place(a, k, size if start is None else size[at])
             byte = p >> 3 if start is None else (p >> 3) + start[at]
-            there = (bits[byte] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+            there = np.flatnonzero(bits[byte] >> (p & 7).astype(np.uint8) & 1)
             at, a = at[there], a[there]
-        out[at] = level
+        out[at] += 1
+        at = at[out[at] < N_LEVELS - 1]
     return out
 
 
+def _level_of(counts: np.ndarray) -> np.ndarray:
+    return (np.searchsorted(LEVELS, counts, "right") - 1).astype(np.uint8)
+
+
+class Remembered:
+    """Levels that a task has read of frequent bigrams, which cost most probes: a bounded number."""
+
+    def __init__(self) -> None:
+        self.h, self.level = np.zeros(1, np.uint64), np.zeros(1, np.uint8)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels of hashes; 0 where they aren't known."""
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, self.level[at], np.uint8(0))
+
+    def add(self, h: np.ndarray, level: np.ndarray, known: np.ndarray) -> None:
+        """Add what a block has read, in order of its hashes; when full, keep this block's only."""
+        often = (level >= FREQUENT) & (h & _ONE == 1)
+        fresh = often & ~known
+        if len(self.h) + int(fresh.sum()) > REMEMBERED:
+            keep = np.flatnonzero(often)[:REMEMBERED]
+            self.h, self.level = (h[keep], level[keep]) if len(keep) else (self.h[:1], self.level[:1])
+            return
+        both = np.concatenate([self.h, h[fresh]])
+        order = np.argsort(both, kind="stable")
+        self.h, self.level = both[order], np.concatenate([self.level, level[fresh]])[order]
+
+
 def _building(bits_each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = defaultdict(list)
@@ -190,7 +253,7 @@ def _building(bits_each: int):
         hashed = _Hasher()
         for s in sorted(parts):
             h, n = summed([(h, n.astype(np.int64)) for h, n in parts.pop(s)])
-            level = np.searchsorted(LEVELS, n, "right") - 1
+            level = _level_of(n)
             words = (h & _ONE == 0) & (h != hashed.start)
             one, two = int((n[words] == 1).sum()), int((n[words] == 2).sum())
             yield pa.RecordBatch.from_arrays(
@@ -257,26 +320,34 @@ class Shipped:
                 return np.memmap(path, np.uint8, "r", start, self.size)
         return np.frombuffer(self.sent.value, np.uint8)
 
-    def looked_up(self, whole: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Levels of hashes and, for words, exact counts."""
+    def looked_up(self, whole: np.ndarray, kinds: np.ndarray, remembered: Remembered) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of hashes, which are in order, and, for words, exact counts."""
         n_shards = len(self.at)
         order, bounds = _shard_of(kinds, n_shards)
         h, shard = kinds[order], np.repeat(np.arange(n_shards), np.diff(bounds))
+        count, word = np.zeros(len(kinds), np.int64), np.flatnonzero(h & _ONE == 0)
+        at = np.searchsorted(word, bounds)
+        for s, (_, words, counts) in enumerate(self.at):
+            mine = word[at[s] : at[s + 1]]
+            if len(mine):
+                count[mine] = _counted(whole[slice(*words)], whole[slice(*counts)], h[mine])
         start, stop = self.at[shard, 0].T
-        level, count = np.zeros(len(kinds), np.uint8), np.zeros(len(kinds), np.int64)
+        level = remembered.levels(kinds)[order]
+        known = level > 0
+        level[word] = np.maximum(level[word], _level_of(count[word]))
         # one shard after another, so its filter stays near
-        level[order] = _levels(whole, h, np.flatnonzero(stop > start), start, (stop - start).astype(np.uint64) * np.uint64(8))
-        for s, (_, words, counts) in enumerate(self.at):
-            mine = order[bounds[s] : bounds[s + 1]]
-            mine = mine[kinds[mine] & _ONE == 0]
-            count[mine] = _counted(whole[slice(*words)], whole[slice(*counts)], kinds[mine])
+        level = _levels(whole, h, level, np.flatnonzero((stop > start) & ~known), start, (stop - start).astype(np.uint64) * np.uint64(8))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        level, count = level[back], count[back]
+        remembered.add(kinds, level, known[back])
         return level, count
 
 
 def _shard_of(kinds: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of hashes in order of their shards, and where each shard begins."""
-    shard = (kinds >> np.uint64(33)) % np.uint64(n_shards)
-    order = np.argsort(shard, kind="stable")
+    shard = ((kinds >> np.uint64(33)) % np.uint64(n_shards)).astype(np.uint16 if n_shards <= 1 << 16 else np.uint64)
+    order = np.argsort(shard, kind="stable")  # by digits, for two bytes
     return order, np.searchsorted(shard[order], np.arange(n_shards + 1))
 
 
@@ -308,11 +379,11 @@ def _probing(shards: Shipped, floor: float):
     """_KEPT of each document, from shards that every worker holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, hashed = np.asarray(shards.open()), _Hasher()
+        whole, hashed, remembered = np.asarray(shards.open()), _Hasher(), Remembered()
         for batch in slices(batches, "text", BLOCK_BYTES):
-            uni, bi, sizes = hashed(batch.column(1).to_pylist())
+            uni, bi, sizes = hashed(batch.column(1))
             kinds, back = np.unique(np.concatenate([uni, bi]), return_inverse=True)
-            yield _scored(batch.column(0), sizes, back[: len(uni)], back[len(uni) :], *shards.looked_up(whole, kinds), floor)
+            yield _scored(batch.column(0), sizes, back[: len(uni)], back[len(uni) :], *shards.looked_up(whole, kinds, remembered), floor)
 
     return run
 
@@ -325,7 +396,7 @@ def _routed(rows: DataFrame, corpus: Corpus, row_type: str, kind: str, floor: fl
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = _Hasher()
         for batch in slices(batches, "text", BLOCK_BYTES):
-            uni, bi, sizes = hashed(batch.column(1).to_pylist())
+            uni, bi, sizes = hashed(batch.column(1))
             kinds, back = np.unique(np.concatenate([uni, bi]), return_inverse=True)
             order, bounds = _shard_of(kinds, n)
             used = np.flatnonzero(np.diff(bounds))
@@ -353,8 +424,12 @@ def _routed(rows: DataFrame, corpus: Corpus, row_type: str, kind: str, floor: fl
                     now, parts = s, (LogBloom(data), np.frombuffer(words, np.uint8), np.frombuffer(counts, np.uint8))
                     continue
                 h = data.view(np.uint64)
-                word = h[h & _ONE == 0]
-                level, count = (parts[0].levels(h), _counted(*parts[1:], word)) if s == now else (np.zeros(len(h), np.uint8), np.zeros(len(word), np.int64))
+                level, word = np.zeros(len(h), np.uint8), h & _ONE == 0
+                count = np.zeros(int(word.sum()), np.int64)
+                if s == now:
+                    count = _counted(*parts[1:], h[word])
+                    level[word] = _level_of(count)
+                    level = parts[0].levels(h, level)
                 out.append((block, s, level.tobytes(), count.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["block", "shard", "data", "counts"])
 

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inquest.llm import langid, lm_bloom, quality_rules, quality_sites, textstats
@@ -211,6 +212,47 @@ def test_broadcast_is_mapped_or_read(spark):
         assert kind == ("memmap" if size > 1 << 16 else "ndarray") and (kind == "ndarray" or (odd + int(sent.at[0, 0, 0])) % 8 == 0)
 
 
+def test_words_and_their_hashes():
+    texts = ["A b\x0bc\x0cD\r\ne ", None, "", " \t", "x\x1cy\x85z\xa0\u2003w\x00", "Étoile ÉTOILE " + "q" * 64 + " " + "q" * 65, "aaaaaaaa aaaaaaaaa aaaaaaaa\x00 a a\x00", "z" * 300]
+    want = [(t or "").encode().lower().split() for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for a in (0, 1, 3):
+            words, sizes = lm_bloom.words_of(pa.array(texts, kind).slice(a))
+            assert sizes.tolist() == [len(w) for w in want[a:]]
+            assert words.cast(pa.large_binary()).to_pylist() == [w for ws in want[a:] for w in ws]
+            hashes = lm_bloom.hashes_of(words).tolist()
+            one = {w: h for ws, at in zip(want[a:], np.cumsum(sizes) - sizes, strict=True) for w, h in zip(ws, hashes[at:], strict=False)}
+            assert len(set(one.values())) == len(one) and [one[w] for ws in want[a:] for w in ws] == hashes
+            assert all(lm_bloom.hashes_of(pa.array([w.decode()]))[0] == h for w, h in one.items())
+    many = [f"{'w' * (i % 80)}{i}" for i in range(50_000)]
+    assert len(np.unique(lm_bloom.hashes_of(pa.array(many)) & ~np.uint64(1))) == len(many)
+    assert len(lm_bloom.hashes_of(pa.array([], pa.string()))) == 0
+
+
+def test_frequent_ngrams_take_few_probes(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([" ".join(words * 5)] * 30)], ["row", "text"])
+    blocks = lm_bloom._counting(3)(iter([batch.select(["text"])]))
+    rows = [r for b in lm_bloom._building(64)(blocks) for r in b.to_pylist()]
+    shards = lm_bloom.Shipped(spark, iter(rows), 3)
+    probes, place = [0], lm_bloom._place
+
+    def counted(a, *more):
+        probes[-1] += len(a)
+        return place(a, *more)
+
+    monkeypatch.setattr(lm_bloom, "_place", counted)
+    level = lambda n: int(np.searchsorted(lm_bloom.LEVELS, n, "right")) - 1
+    for out in lm_bloom._probing(shards, 1.0)(iter([batch, batch])):
+        probes.append(0)
+        for r in out.to_pylist():
+            assert list(r["words"]) == [level(150)] * 1500 + [level(30)]
+            # the first bigram opens a text, the last but one of each round joins rounds, the last ends the text
+            assert list(r["bigrams"]) == [level(30)] + ([level(150)] * 299 + [level(120)]) * 4 + [level(150)] * 299 + [level(30)]
+    # words begin at their own level, and the second block knows its bigrams
+    assert probes[0] < lm_bloom.HASHES * (level(150) + 1) * len(words) * 1.2 and probes[1] < probes[0] / 10
+
+
 def votes_of(text):
     """The ten rules, counted word by word."""
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
